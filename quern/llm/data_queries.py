@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.sql import CURRENT_CLASSES, CURRENT_FUNCTIONS
 from ..sources.tables import table
-from . import packing, pieces, reading, tokens
+from . import documented, near_duplicates, packing, pieces, reading, tokens
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where("piece_no = 0").select("seq")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.similar_functions(table(spark, d, "code_functions")).pairs()
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.similar_functions(table(spark, d, "code_functions")).groups()
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return documented.described(table(spark, d, "code_functions"), table(spark, d, "code_classes"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs(spark, d).select("seq")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -42,7 +58,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_levels": p9_levels,
 }
 
