@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.sql import CURRENT_CLASSES, CURRENT_FUNCTIONS
 from ..sources.tables import table
-from . import documented, near_duplicates, packing, pieces, reading, tokens
+from . import documented, near_duplicates, neighbors, packing, pieces, reading, tokens
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where("piece_no = 0").select("seq")
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.nearest_neighbours(table(spark, d, "code_vectors"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.similar_pairs(table(spark, d, "code_vectors"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_functions(table(spark, d, "code_functions")).pairs()
 
@@ -58,11 +66,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_levels": p9_levels,
 }
 
 ORACLES = {
     "p1_found": f"select seq from ({CURRENT_FUNCTIONS}) where length(code) > 2000 union all select seq from ({CURRENT_CLASSES}) where length(code) > 2000",
+    "p2_found": """with v as (select vec_id, id, list_transform(embedding, lambda x: x::double) e from code_vectors where embedding is not null and len(embedding) = 64
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0)
+select a.vec_id as vec_a, b.vec_id as vec_b from v a join v b on a.vec_id < b.vec_id and a.id is distinct from b.id
+where list_dot_product(a.e, b.e) >= 0.9 * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))""",
     "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }
