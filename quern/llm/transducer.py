@@ -27,7 +27,7 @@ _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 _GENERAL = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^" + _SPACE + r"\p{L}\p{N}]+|[" + _SPACE + r"]+(?![^" + _SPACE + r"])|[" + _SPACE + "]+")
 _ASCII = re.compile(ASCII_PATTERN.replace(r"[^\s0-9A-Za-z]", r"[^\t\n\x0b\x0c\r 0-9A-Za-z]").replace(r"\s+(?!\S)", r"[\t\n\x0b\x0c\r ]+(?![^\t\n\x0b\x0c\r ])").replace(r"|\s+", r"|[\t\n\x0b\x0c\r ]+"))
 
-_STATES, _WORDS, _WORD_LENGTH = 200_000, 400_000, 64
+_STATES, _WORDS, _WORD_LENGTH, _PAIRS = 60_000, 300_000, 64, 400_000
 
 
 def load_ranks(path: str | Path) -> dict[bytes, int]:
@@ -93,7 +93,7 @@ class Transducer:
         got = self.apart.get((a, b))
         if got is None:
             got = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > _PAIRS:
                 self.apart.clear()
             self.apart[a, b] = got
         return got
