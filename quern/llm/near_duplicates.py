@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import current_functions
 from ..operators.components import connected_components
 from ..session import materialize
-from .shingles import shingle_sets
+from .shingles import mix, shingle_sets
 
 SHINGLE, THRESHOLD, LEAST_WORDS = 3, Fraction(6, 10), 20
 SEGMENTS, CHAIN = 16, 8
@@ -146,11 +146,41 @@ def candidates(docs: DataFrame, t: Fraction = THRESHOLD, size: int = SHINGLE, le
     return left.join(right, "key").where((F.col("a") < F.col("b")) & close & room).select("a", "b").distinct()
 
 
-def _sets(docs: DataFrame, size: int, least_words: int) -> DataFrame:
-    """``seq, n, ring, hashes``: each record's segment bitmaps and its sorted shingles."""
+#: Bits of the map that tells which records are in candidates at all: 1 MB, whatever the data.
+_MAP_BITS = 1 << 23
+
+
+def _spot(seq: np.ndarray) -> np.ndarray:
+    return (mix(seq.astype(np.int64).view(np.uint64)) & np.uint64(_MAP_BITS - 1)).astype(np.int64)
+
+
+def _map_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids: it may hold others too, but lacks none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(_MAP_BITS, bool)
+        for b in batches:
+            bits[_spot(b.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    parts = ids.coalesce(4).mapInArrow(run, "bits binary").collect()  # 4 rows of 1 MB at most
+    out = np.zeros(_MAP_BITS // 8, np.uint8)
+    for r in parts:
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int, least_words: int) -> DataFrame:
+    """``seq, n, ring, hashes``: the segment bitmaps and sorted shingles of the records in ``ids``, and perhaps of some others."""
+    known = docs.sparkSession.sparkContext.broadcast(_map_of(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
         for b in batches:
+            spot = _spot(b.column(0).to_numpy())
+            b = b.filter(pa.array((bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1))
+            if not b.num_rows:
+                continue
             s, ends, _ = shingle_sets(b.column(1).to_pylist(), size, least_words)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             doc = np.repeat(np.arange(len(ends)), ends - starts)
@@ -181,8 +211,8 @@ def ring_holds(x: np.ndarray, y: np.ndarray, budget: np.ndarray, chain: int = CH
 def close_classes(docs: DataFrame, t: Fraction = THRESHOLD, size: int = SHINGLE, least_words: int = LEAST_WORDS) -> DataFrame:
     """``a, b, shared, united``: the close pairs among records that each stand for a class."""
     pairs = materialize(candidates(docs, t, size, least_words), "candidates")
-    ids = pairs.select(F.col("a").alias("seq")).unionByName(pairs.select(F.col("b").alias("seq"))).distinct()
-    sets = materialize(_sets(docs.join(ids, "seq", "left_semi"), size, least_words), "sets")
+    ids = pairs.select(F.col("a").alias("seq")).unionByName(pairs.select(F.col("b").alias("seq")))
+    sets = materialize(_sets(docs, ids, size, least_words), "sets")
     side = lambda x: sets.select(F.col("seq").alias(x), F.col("ring").alias(f"r{x}"), F.col("hashes").alias(f"h{x}"))
     num, den = t.numerator, t.denominator
 
@@ -212,7 +242,8 @@ class NearDuplicates:
     def __init__(self, rows: DataFrame, t: Fraction = THRESHOLD, size: int = SHINGLE, least_words: int = LEAST_WORDS):
         docs = materialize(documents(rows, size, least_words), "documents")
         self.members = materialize(classes(docs), "classes")
-        copies = self.members.where("seq <> rep").select("seq")
+        # Written, so that Spark knows their number and chooses the join by it.
+        copies = materialize(self.members.where("seq <> rep").select("seq"), "copies")
         self.links = materialize(close_classes(docs.join(copies, "seq", "left_anti"), t, size, least_words), "links")
 
     def pairs(self) -> DataFrame:
