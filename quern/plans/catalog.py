@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_queries
+from . import data_queries, reference_queries
 
-_MODULES = [data_queries]
+_MODULES = [reference_queries, data_queries]
 
 
 def queries() -> dict:

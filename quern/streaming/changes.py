@@ -61,7 +61,7 @@ def batch_sessions(changes: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
     The gaps are found by time slots: each slot (much longer than the gap) is searched by its own task, and only its
     first and last event meet those of other slots, so no task sorts all events.
     """
-    micros = F.unix_micros("event_time")
+    micros = F.unix_micros(F.col("event_time").cast("timestamp"))
     width = 3_600_000_000
     gap_us = F.lit(_micros(gap))
     rows = changes.where("event_time is not null").withColumn("_t", micros).withColumn("_slot", F.floor(F.col("_t") / width))
