@@ -32,7 +32,8 @@ SAMPLE = 20_000
 CENTRES, MERGE = 128, 0.55
 #: Vectors of one block; a task holds two.
 BLOCK = 80_000
-_TILE = 2048
+#: Queries and rows ranked at once, so that no intermediate outgrows some 60 MB.
+_TILE, _CHUNK = 1024, 8192
 
 
 def vectors_of(column: pa.Array, d: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
@@ -158,16 +159,21 @@ def pairs_beyond(x: np.ndarray, y: np.ndarray | None, least: float, success: flo
     distance = math.sqrt(max(0.0, 2 - 2 * least))
     found = []
     for table in _tables(uy, tables, 11):
-        visit = table.probes(ux, distance, success)
-        for bucket in range(len(table.buckets)):
-            rows, queries = table.rows(bucket), np.flatnonzero(visit[:, bucket])
-            base = uy[rows].T.copy()
-            for a in range(0, len(queries), _TILE):
-                q = queries[a: a + _TILE]
-                hit = ux[q] @ base >= least - 1e-4
-                if hit.any():
-                    i, j = np.nonzero(hit)
-                    found.append(np.stack([q[i], rows[j]]))
+        for start in range(0, len(ux), _CHUNK):
+            visit = table.probes(ux[start: start + _CHUNK], distance, success)
+            for bucket in range(len(table.buckets)):
+                queries = start + np.flatnonzero(visit[:, bucket])
+                if not len(queries):
+                    continue
+                rows = table.rows(bucket)
+                base = uy[rows].T
+                for a in range(0, len(queries), _TILE):
+                    q = queries[a: a + _TILE]
+                    for c in range(0, len(rows), _CHUNK):
+                        hit = ux[q] @ base[:, c: c + _CHUNK] >= least - 1e-4
+                        if hit.any():
+                            i, j = np.nonzero(hit)
+                            found.append(np.stack([q[i], rows[c + j]]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = np.concatenate(found, axis=1)
@@ -181,32 +187,38 @@ def pairs_beyond(x: np.ndarray, y: np.ndarray | None, least: float, success: flo
     return i[exact >= least], j[exact >= least]
 
 
+def _offer(best_s: np.ndarray, best_i: np.ndarray, qq: np.ndarray, rows: np.ndarray, uq: np.ndarray, ux: np.ndarray, k: int, skip: np.ndarray, ids: np.ndarray, again: bool) -> None:
+    """Put the rows that are better than the worst of a query's ``k`` best in their place."""
+    s = uq[qq] @ ux[rows].T
+    s[ids[rows][None, :] == skip[qq][:, None]] = -2.0
+    if s.shape[1] > k:
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    else:
+        top = np.tile(np.arange(s.shape[1]), (len(qq), 1))
+    cand_s = np.concatenate([best_s[qq], np.take_along_axis(s, top, axis=1)], axis=1)
+    cand_i = np.concatenate([best_i[qq], rows[top]], axis=1)
+    if again:  # another table may have found the row before
+        order = np.lexsort((-cand_s, cand_i), axis=1)
+        cand_s, cand_i = np.take_along_axis(cand_s, order, axis=1), np.take_along_axis(cand_i, order, axis=1)
+        twice = np.concatenate([np.zeros((len(qq), 1), bool), cand_i[:, 1:] == cand_i[:, :-1]], axis=1)
+        cand_s[twice] = -2.0
+    keep = np.argsort(-cand_s, axis=1, kind="stable")[:, :k]
+    best_s[qq], best_i[qq] = np.take_along_axis(cand_s, keep, axis=1), np.take_along_axis(cand_i, keep, axis=1)
+
+
 def nearest(q: np.ndarray, x: np.ndarray, k: int, skip: np.ndarray, ids: np.ndarray, distance: float, success: float, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query, row, cosine)``: the ``k`` best rows of ``x`` a query among the probed buckets; row ``ids`` equal to ``skip`` are left out."""
     uq, ux = unit(q), unit(x)
     best_s = np.full((len(q), k), -2.0, np.float32)
     best_i = np.full((len(q), k), -1, np.int64)
     for table in _tables(ux, tables, 13):
-        visit = table.probes(uq, distance, success)
-        for bucket in range(len(table.buckets)):
-            rows, queries = table.rows(bucket), np.flatnonzero(visit[:, bucket])
-            for a in range(0, len(queries), _TILE):
-                qq = queries[a: a + _TILE]
-                s = uq[qq] @ ux[rows].T
-                s[ids[rows][None, :] == skip[qq][:, None]] = -2.0
-                if s.shape[1] > k:
-                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                else:
-                    top = np.tile(np.arange(s.shape[1]), (len(qq), 1))
-                cand_s = np.concatenate([best_s[qq], np.take_along_axis(s, top, axis=1)], axis=1)
-                cand_i = np.concatenate([best_i[qq], rows[top]], axis=1)
-                if tables > 1:  # another table may have found the row before
-                    order = np.lexsort((-cand_s, cand_i), axis=1)
-                    cand_s, cand_i = np.take_along_axis(cand_s, order, axis=1), np.take_along_axis(cand_i, order, axis=1)
-                    again = np.concatenate([np.zeros((len(qq), 1), bool), cand_i[:, 1:] == cand_i[:, :-1]], axis=1)
-                    cand_s[again] = -2.0
-                keep = np.argsort(-cand_s, axis=1, kind="stable")[:, :k]
-                best_s[qq], best_i[qq] = np.take_along_axis(cand_s, keep, axis=1), np.take_along_axis(cand_i, keep, axis=1)
+        for start in range(0, len(uq), _CHUNK):
+            visit = table.probes(uq[start: start + _CHUNK], distance, success)
+            for bucket in range(len(table.buckets)):
+                queries, rows = start + np.flatnonzero(visit[:, bucket]), table.rows(bucket)
+                for a in range(0, len(queries), _TILE):
+                    for c in range(0, len(rows), _CHUNK):
+                        _offer(best_s, best_i, queries[a: a + _TILE], rows[c: c + _CHUNK], uq, ux, k, skip, ids, tables > 1)
     i, j = np.nonzero(best_s > -1.5)
     row = best_i[i, j]
     a, b = q[i].astype(np.float64), x[row].astype(np.float64)
