@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .entities import deduplicated, identified
 from .imports import resolved_imports
 
@@ -66,7 +67,7 @@ def _references(entities: DataFrame, kind: str, column: str, edge: str) -> DataF
     return rows.select(F.col("id").alias("src"), "repo", "file_path", "seq", F.posexplode(column).alias("pos", "ref")).where("ref is not null and ref <> ''").withColumn("type", F.lit(edge))
 
 
-def build_edges(entities: DataFrame, nodes: DataFrame, compat_imports: bool = False) -> DataFrame:
+def build_edges(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     """``src, dst, type, seq`` of all edges, external targets included."""
     table = symbols(entities)
     names = first_by_name(nodes)
@@ -107,11 +108,14 @@ class Graph:
         self.nodes, self.edges = nodes, edges
 
     @classmethod
-    def build(cls, entities: DataFrame) -> "Graph":
+    def build(cls, entities: DataFrame, keep: bool = True) -> "Graph":
+        """The graph of an entity table; written to the shared folder, so that questions don't build it again, unless ``keep`` is false."""
         rows = entities if "id" in entities.columns else identified(entities)
+        written = materialize if keep else lambda df, label: df
+        rows = written(rows.select("id", "repo", "file_path", "entity_type", "name", "seq", "start_line", "end_line", "language", "class_name", "calls", "bases", "imports", "defines"), "entities")
         nodes = real_nodes(rows)
-        edges = build_edges(rows, nodes)
-        return cls(nodes.unionByName(external_nodes(edges)), edges)
+        edges = written(build_edges(rows, nodes), "edges")
+        return cls(written(nodes.unionByName(external_nodes(edges)), "nodes"), edges)
 
     def add_entities(self, nodes: DataFrame) -> "Graph":
         """Upsert nodes."""

@@ -45,10 +45,7 @@ def slim(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, d: str) -> G.Graph:
-    g = G.Graph.build(slim(spark, d))
-    edges = materialize(g.edges, "edges")
-    real = g.nodes.where("type <> 'external'")
-    return G.Graph(materialize(real.unionByName(G.external_nodes(edges)), "nodes"), edges)
+    return G.Graph.build(corpus(spark, d))
 
 
 # -- vectors --------------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from quern.sources.scan import is_ignored, ignored, should_process
 from quern.streaming import changes as C
 
 
-@pytest.mark.parametrize("language,imp,context,want", [
+IMPORTS = [
     ("python", "a.b", "x/y.py", ["a/b.py", "a/b/__init__.py", "src/a/b.py", "src/a/b/__init__.py"]), ("python", "os.path", "x.py", []), ("python", ".m", "p/q/r.py", ["p/q/m.py", "p/q/m/__init__.py"]),
     ("python", "..m.n", "p/q/r.py", ["p/m/n.py", "p/m/n/__init__.py"]), ("python", ".", "p/q.py", ["p.py", "p/__init__.py"]), ("python", "....m", "p/q.py", ["m.py", "m/__init__.py"]),
     ("typescript", "./u", "a/b.ts", ["a/u.ts", "a/u.tsx", "a/u.js", "a/u.jsx", "a/u/index.ts", "a/u/index.tsx", "a/u/index.js", "a/u/index.jsx"]), ("javascript", "react", "a.js", []),
@@ -24,10 +24,14 @@ from quern.streaming import changes as C
     ("rust", "std::io", "a.rs", []), ("rust", "self::x", "s/a.rs", ["s/x.rs", "s/x/mod.rs"]), ("rust", "super::x", "s/t/a.rs", ["s/x.rs", "s/x/mod.rs"]),
     ("rust", "crate::a::b", "s/m.rs", ["src/a/b.rs", "src/a/b/mod.rs", "a/b.rs", "a/b/mod.rs"]), ("rust", "rand::Rng", "a.rs", []),
     ("java", "java.util.List", "A.java", []), ("java", "p.Q", "A.java", ["src/main/java/p/Q.java", "src/p/Q.java", "app/src/main/java/p/Q.java", "p/Q.java"]),
-    ("c", "<stdio.h>", "s/a.c", ["s/stdio.h", "stdio.h", "include/stdio.h", "src/stdio.h"]), ("cpp", '"x.hpp"', "a.cpp", []), ("cpp", "../u.h", "s/t/a.cpp", ["s/u.h", "u.h", "u.h", "u.h"]), ("dart", "package:a/b.dart", "a.dart", []), (None, "x", "y", [])])
-def test_import_candidates(spark, language, imp, context, want):
-    row = spark.createDataFrame([(language, imp, context)], "l string, i string, c string").select(I.import_candidates(F.col("l"), F.col("i"), F.col("c")).alias("x")).first()
-    assert row.x == want
+    ("c", "<stdio.h>", "s/a.c", ["s/stdio.h", "stdio.h", "include/stdio.h", "src/stdio.h"]), ("cpp", '"x.hpp"', "a.cpp", []), ("cpp", "../u.h", "s/t/a.cpp", ["s/u.h", "u.h", "u.h", "u.h"]), ("dart", "package:a/b.dart", "a.dart", []), (None, "x", "y", [])]
+
+
+def test_import_candidates(spark):
+    df = spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(IMPORTS)], "n int, l string, i string, c string")
+    got = {r.n: r.x for r in df.select("n", I.import_candidates(F.col("l"), F.col("i"), F.col("c")).alias("x")).collect()}
+    for n, (language, imp, context, want) in enumerate(IMPORTS):
+        assert got[n] == want, (language, imp, context)
 
 
 def test_paths_of_files(spark):
