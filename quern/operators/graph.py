@@ -31,8 +31,8 @@ def real_nodes(entities: DataFrame) -> DataFrame:
     return deduplicated(entities).select("id", "repo", F.col("entity_type").alias("type"), "name", "file_path", "start_line", "end_line", "seq")
 
 
-def symbols(entities: DataFrame) -> DataFrame:
-    """``repo, scope, file_path, name, id``: scopes ``qualified``, ``file`` and ``global``; the last registration wins."""
+def _registrations(entities: DataFrame) -> DataFrame:
+    """``repo, scope, path, symbol, id, seq``: every name an entity is registered under."""
     rows = entities.where(F.col("entity_type").isin("function", "class", "type") & F.col("id").isNotNull() & F.col("name").isNotNull())
     full = F.when((F.col("entity_type") == "function") & (F.coalesce("class_name", F.lit("")) != ""), F.concat_ws(".", "class_name", "name"))
     none = F.lit(None).cast("string")
@@ -41,25 +41,32 @@ def symbols(entities: DataFrame) -> DataFrame:
     all_ = F.array(
         entry("file", path, F.col("name")), entry("global", none, F.col("name")),
         entry("qualified", none, full), entry("file", path, full), entry("global", none, full))
-    long_ = rows.select("repo", "id", "seq", F.explode(all_).alias("x")).where("x.symbol is not null")
-    return long_.groupBy("repo", F.col("x.scope").alias("scope"), F.col("x.path").alias("file_path"), F.col("x.symbol").alias("name")).agg(F.max_by("id", "seq").alias("id"))
+    return rows.select("repo", "id", "seq", F.explode(all_).alias("x")).where("x.symbol is not null").select("repo", "x.scope", "x.path", "x.symbol", "id", "seq")
+
+
+def symbols(entities: DataFrame) -> DataFrame:
+    """``repo, scope, file_path, name, id``: scopes ``qualified``, ``file`` and ``global``; the last registration wins."""
+    rows = _registrations(entities)
+    return rows.groupBy("repo", "scope", F.col("path").alias("file_path"), F.col("symbol").alias("name")).agg(F.max_by("id", "seq").alias("id"))
 
 
-def resolve(refs: DataFrame, table: DataFrame, name: str = "ref", path: str = "file_path") -> DataFrame:
-    """``refs`` with ``target``: the id its name means in its file, or null."""
-    scope = lambda s, c: table.where(F.col("scope") == s).select(F.col("repo").alias("_repo"), F.col("name").alias("_name"), F.col("file_path").alias("_path"), F.col("id").alias(c))
-    out = refs
-    for s, c in (("qualified", "_q"), ("file", "_f"), ("global", "_g")):
-        on = (F.col("repo") == F.col("_repo")) & (F.col(name) == F.col("_name"))
-        if s == "file":
-            on &= F.col(path) == F.col("_path")
-        out = out.join(scope(s, c), on, "left").drop("_repo", "_name", "_path")
-    return out.withColumn("target", F.coalesce("_q", "_f", "_g")).drop("_q", "_f", "_g")
+class Names:
+    """Two lookup tables with one row a key: names of a repository, and names of a file."""
 
+    def __init__(self, entities: DataFrame, nodes: DataFrame):
+        rows = _registrations(entities)
+        first = nodes.where("name is not null").select("repo", F.lit("first").alias("scope"), F.lit(None).cast("string").alias("path"), F.col("name").alias("symbol"), "id", "seq")
+        last = lambda scope: F.max_by(F.when(F.col("scope") == scope, F.col("id")), F.when(F.col("scope") == scope, F.col("seq")))
+        is_first = F.col("scope") == "first"
+        self.of_repo = rows.where("scope <> 'file'").unionByName(first).groupBy(F.col("repo").alias("_repo"), F.col("symbol").alias("_name")).agg(
+            last("qualified").alias("_q"), last("global").alias("_g"), F.min_by(F.when(is_first, F.col("id")), F.when(is_first, F.col("seq"))).alias("first_id"))
+        self.of_file = rows.where("scope = 'file'").groupBy(F.col("repo").alias("_frepo"), F.col("path").alias("_path"), F.col("symbol").alias("_fname")).agg(F.max_by("id", "seq").alias("_f"))
 
-def first_by_name(nodes: DataFrame) -> DataFrame:
-    """``repo, name, first_id``: the first node of each name."""
-    return nodes.where("name is not null").groupBy("repo", "name").agg(F.min_by("id", "seq").alias("first_id"))
+    def resolve(self, refs: DataFrame) -> DataFrame:
+        """``refs`` (repo, file_path, ref) with ``target``, the id a name means in its file, and ``first_id``, the first node of that name; both may be null."""
+        out = refs.join(self.of_repo, (F.col("repo") == F.col("_repo")) & (F.col("ref") == F.col("_name")), "left")
+        out = out.join(self.of_file, (F.col("repo") == F.col("_frepo")) & (F.col("file_path") == F.col("_path")) & (F.col("ref") == F.col("_fname")), "left")
+        return out.withColumn("target", F.coalesce("_q", "_f", "_g")).drop("_q", "_f", "_g", "_repo", "_name", "_frepo", "_path", "_fname")
 
 
 def _references(entities: DataFrame, kind: str, column: str, edge: str) -> DataFrame:
@@ -69,20 +76,24 @@ def _references(entities: DataFrame, kind: str, column: str, edge: str) -> DataF
 
 def build_edges(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     """``src, dst, type, seq`` of all edges, external targets included."""
-    table = symbols(entities)
-    names = first_by_name(nodes)
-    named = lambda df: df.join(names.select(F.col("repo").alias("_r"), F.col("name").alias("_n"), "first_id"), (F.col("repo") == F.col("_r")) & (F.col("ref") == F.col("_n")), "left").drop("_r", "_n")
-    refs = _references(entities, "function", "calls", "calls").unionByName(_references(entities, "class", "bases", "inherits"))
-    linked = named(resolve(refs, table)).withColumn("dst", F.coalesce("target", "first_id", external_id(F.col("ref"))))
+    names = Names(entities, nodes)
     methods = entities.where("entity_type = 'function' and coalesce(class_name, '') <> '' and id is not null")
-    methods = methods.select(F.col("id").alias("dst"), "repo", "file_path", "seq", F.lit(0).alias("pos"), F.col("class_name").alias("ref"), F.lit("contains").alias("type"))
-    held = resolve(methods, table).where("target is not null").withColumn("src", F.col("target"))
+    methods = methods.select(F.col("id").alias("src"), "repo", "file_path", "seq", F.lit(0).alias("pos"), F.col("class_name").alias("ref"), F.lit("contains").alias("type"))
+    imported = resolved_imports(entities).select(F.col("id").alias("src"), "repo", "file_path", "seq", "pos", F.col("import").alias("ref"), F.lit("imports").alias("type"), "resolved_id")
+    refs = _references(entities, "function", "calls", "calls").unionByName(_references(entities, "class", "bases", "inherits")).unionByName(methods)
+    refs = refs.withColumn("resolved_id", F.lit(None).cast("string")).unionByName(imported)
+    # One pass of lookups for all kinds. Calls and bases take the last symbol, imports the first node; methods take no placeholder.
+    linked = names.resolve(refs)
+    kind = F.col("type")
+    other = F.when(kind == "imports", F.coalesce("resolved_id", "first_id", external_id(F.col("ref")))).when(kind == "contains", F.col("target")).otherwise(
+        F.coalesce("target", "first_id", external_id(F.col("ref"))))
+    held = kind == "contains"
+    linked = linked.withColumn("_other", other).where("_other is not null").select(
+        F.when(held, F.col("_other")).otherwise(F.col("src")).alias("src"), F.when(held, F.col("src")).otherwise(F.col("_other")).alias("dst"), "type", "seq", "pos")
     defined = _references(entities, "file", "defines", "defines").withColumn("dst", F.col("ref"))
     defined = defined.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    imported = named(resolved_imports(entities).select(F.col("id").alias("src"), "repo", "file_path", "seq", "pos", F.col("import").alias("ref"), "resolved_id"))
-    imported = imported.withColumn("dst", F.coalesce("resolved_id", "first_id", external_id(F.col("ref")))).withColumn("type", F.lit("imports"))
     columns = ["src", "dst", "type", "seq", "pos"]
-    out = linked.select(*columns).unionByName(held.select(*columns)).unionByName(defined.select(*columns)).unionByName(imported.select(*columns))
+    out = linked.select(*columns).unionByName(defined.select(*columns))
     phase = F.create_map(*[F.lit(x) for pair in PHASES.items() for x in pair])[F.col("type")]
     return deduplicated_edges(out.withColumn("at", F.struct("seq", phase.alias("phase"), "pos")))
 

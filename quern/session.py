@@ -72,6 +72,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as the session has cores.
+
+    For operators that spend seconds a megabyte: a few small files would leave cores idle. Larger
+    inputs have more partitions than cores and are left as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def local_session(name: str = "quern", cores: str | None = None) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     return (
