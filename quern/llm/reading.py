@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .prose import abbreviated, prose_parts, prose_sentences
 
 LEVELS = 5
@@ -218,7 +219,7 @@ def reading_levels(spark: SparkSession, documents: DataFrame, labels: DataFrame,
                  pa.array(hard, pa.float64(), mask=~some), pa.array(np.clip(np.rint(hard), 1, LEVELS).astype(np.int32), pa.int32(), mask=~some)],
                 names=["doc_id", "n_sentences", "n_words", "n_letters", "level_share", "difficulty", "reading_level"])
 
-    docs = documents.select("doc_id", "text", (kind if kind is not None else F.col("doc_kind")).alias("_kind"))
+    docs = spread(documents.select("doc_id", "text", (kind if kind is not None else F.col("doc_kind")).alias("_kind")))
     return docs.mapInArrow(run, "doc_id long, " + PROFILE)
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .transducer import Transducer, load_ranks, tokenizer_path
 
 _LOADED: dict[str, Transducer] = {}
@@ -46,7 +47,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
                     yield pa.RecordBatch.from_arrays([keys.slice(start, i + 1 - start), lists], names=[key, "ids"])
                     start, parts, ends, total = i + 1, [], [0], 0
 
-    return df.select(key, text).mapInArrow(run, f"{key} long, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"{key} long, ids array<int>")
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
             counts = [len(encode(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[key, "n_tokens"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} long, n_tokens long")
+    return spread(df.select(key, text)).mapInArrow(run, f"{key} long, n_tokens long")
 
 
 def decoded(ids: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
