@@ -7,7 +7,8 @@ import re
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_URL = re.compile(r"\[([^\]]*)\]\([^)]*\)|https?://\S+|`[^`]*`|\(#\d+\)|#\d+|\(v?\d+(?:\.\d+)+\)|\bv?\d+(?:\.\d+)+\S*|\d+(?:[.,]\d+)*(?:[eE][-+]?\d+)?")
+#: What is no word: encoded data, links, inline code, numbers.
+_URL = re.compile(r"(?<!\S)(?=\S{48})(?=\S*\d)\S+|\[([^\]]*)\]\([^)]*\)|https?://\S+|`[^`]*`|\(#\d+\)|#\d+|\(v?\d+(?:\.\d+)+\)|\bv?\d+(?:\.\d+)+\S*|\d+(?:[.,]\d+)*(?:[eE][-+]?\d+)?")
 #: Abbreviations whose dot ends no sentence.
 ABBREVIATIONS = (
     "cf", "approx", "etc", "vs", "resp", "incl", "fig", "vol", "dr", "mr", "mrs", "prof", "al", "ca", "bzw", "usw", "vgl", "evtl", "ggf", "inkl", "nr",
@@ -141,7 +142,8 @@ def abbreviated(word: str) -> bool:
 def prose_parts(text: str | None, kind: str | None) -> list[str]:
     """The words of a document's prose in order, the marks that may end a sentence, and :data:`END` after every block.
 
-    A dot counts as an end unless the word before is :func:`abbreviated`; dots within numbers, links and
+    A dot counts as an end unless the word before is :func:`abbreviated`, nor does a block's end right after
+    a single letter with a dot (an abbreviation taken apart, as ``z.`` and ``B.`` in two items); dots within numbers, links and
     inline code are gone with them, and those are no words. Null and blank texts have no parts.
     """
     if not text:
@@ -163,11 +165,12 @@ def is_word(part: str) -> bool:
 def prose_sentences(text: str | None, kind: str | None) -> list[list[str]]:
     """The words of every sentence of a document's prose."""
     out: list[list[str]] = [[]]
-    before = ""
+    before, broken = "", False
     for part in prose_parts(text, kind):
         if is_word(part):
             out[-1].append(part)
-        elif out[-1] and not (part == "." and abbreviated(before)):
+        elif out[-1] and not (part == "." and abbreviated(before)) and not (part == END and broken):
             out.append([])
+        broken = part == "." and len(before) == 1 and before.isalpha()
         before = part
     return out if out[-1] else out[:-1]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .prose import abbreviated, prose_parts, prose_sentences
+from .prose import END, abbreviated, prose_parts, prose_sentences
 
 LEVELS = 5
 SAMPLE_DOCS, SAMPLE_SENTENCES = 1000, 40
@@ -152,6 +152,7 @@ def profile_batch(texts: list, kinds: list, model: SentenceModel | None, cache:
         new = {
             "length": np.array([sum(map(str.isalpha, p)) for p in fresh], np.int64),
             "tail": np.array([abbreviated(p) for p in fresh]), "dot": np.array([p == "." for p in fresh]),
+            "end": np.array([p == END for p in fresh]), "letter": np.array([len(p) == 1 and p.isalpha() for p in fresh]),
             "scores": model.word_scores(fresh) if model is not None else np.zeros((len(fresh), LEVELS), np.float32),
         }
         cache.update({k: np.concatenate([cache[k], v]) if known else v for k, v in new.items()})
@@ -164,6 +165,7 @@ def profile_batch(texts: list, kinds: list, model: SentenceModel | None, cache:
     word = length > 0
     doc = np.repeat(np.arange(n), np.diff(np.concatenate([[0], ends])))
     spurious = np.concatenate([[False], cache["dot"][idx[1:]] & cache["tail"][idx[:-1]]])
+    spurious[2:] |= cache["end"][idx[2:]] & cache["dot"][idx[1:-1]] & cache["letter"][idx[:-2]]
     idx, length, word, doc = idx[~spurious], length[~spurious], word[~spurious], doc[~spurious]
     sentence = np.cumsum(~word)  # a word's sentence: the number of marks before it
     idx, length, sentence, doc = idx[word], length[word], sentence[word], doc[word]

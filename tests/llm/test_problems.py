@@ -309,6 +309,7 @@ def test_prose():
     assert [" ".join(s) for s in got] == ["The first sentence e g this one costs units", "Another ends here", "See and a link", "An item without end"]
     assert prose.prose_sentences(DOC, "Source_File ") == [] and prose.prose_sentences(None, None) == [] and prose.prose_sentences(" \n", None) == []
     assert prose.prose_sentences("def f(x):\n    return x\n\nclass A:\n    y = 1\n", None) == [] and prose.prose_sentences("## [1.2.0] - 2020-01-01\n\n- Fixed a thing.\n", None) == []
+    assert [len(x) for x in prose.prose_sentences("A whole sentence here.\n\n" + "aB3/+" * 30 + "\n\n- Eine z.\n- B.\n- Sache mehr.", "readme")] == [4, 5]
     assert len(prose.prose_sentences("Ein Satz, z. B. dieser bzw. jener, endet. Noch einer.", None)) == 2
 
 
