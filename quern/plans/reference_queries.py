@@ -229,7 +229,7 @@ def _root(g: G.Graph) -> str:
 
 def call_chain_levels(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    return Q.call_chain_levels(g, _root(g), 3)
+    return Q.call_chain_levels(g, _root(g), Q.DEPTH)
 
 
 def call_chain_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +241,7 @@ def call_chain_tree(spark: SparkSession, d: str) -> DataFrame:
         for child in node["calls"]:
             flat(child, depth + 1)
 
-    flat(Q.call_chain(g, _root(g), 2), 0)
+    flat(Q.call_chain(g, _root(g), Q.DEPTH), 0)
     return spark.createDataFrame(rows, "id string, name string, depth int, truncated boolean, cycle boolean")
 
 
@@ -254,10 +254,11 @@ def components_inherits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def find_paths(spark: SparkSession, d: str) -> DataFrame:
+    """From the function with most calls to what is most calls away from it, the last by id among equals."""
     g = graph(spark, d)
     root = _root(g)
-    goal = g.edges.where((F.col("src") == root) & (F.col("type") == "calls")).orderBy(F.col("dst").desc()).first().dst
-    return Q.find_paths(g, root, goal, 3).select(F.array_join("path", " > ").alias("path"))
+    goal = Q.call_chain_levels(g, root, Q.PATH_LENGTH).orderBy(F.col("depth").desc(), F.col("id").desc()).first().id
+    return Q.find_paths(g, root, goal, Q.PATH_LENGTH).select(F.array_join("path", " > ").alias("path"))
 
 
 def remove_file(spark: SparkSession, d: str) -> DataFrame:

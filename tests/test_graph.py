@@ -6,6 +6,7 @@ from quern.operators import entities as E
 from quern.operators import graph as G
 from quern.operators import graph_queries as Q
 from quern.operators.components import connected_components
+from quern.plans import reference_queries as R
 
 COLS = "entity_type string, repo string, file_path string, name string, seq long, start_line int, end_line int, class_name string, calls array<string>, bases array<string>, imports array<string>, defines array<string>, language string, extra string"
 
@@ -116,3 +117,19 @@ def test_components_of_a_long_path_a_hub_and_nulls(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert all(got[i] == 0 for i in range(101)) and all(got[1000 + i] == 500 for i in range(50)) and got[7000] == 7000 and got[8000] == 8000
     assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_registered_chains_and_paths_go_to_the_operators_depth(spark, monkeypatch):
+    # The chain a0 ... a11 hangs on the root; a short cut from a1 to a3 gives two ways to all that follows.
+    rows = [fn(0, "m.py", "root", ["a0", "x", "y", "z"]), fn(1, "m.py", "a1", ["a2", "a3"])]
+    rows += [fn(2 + i, "m.py", f"a{i}", [f"a{i + 1}"]) for i in range(11) if i != 1]
+    g = G.Graph.build(entities(spark, rows))
+    monkeypatch.setattr(R, "graph", lambda spark, d: g)
+    short = lambda x: x.rsplit(":", 1)[-1]
+    out = {"root": 0, "a0": 1, "a1": 2, "a2": 3, "a3": 3, "a4": 4, "a5": 5, "x": 1, "y": 1, "z": 1}
+    assert {short(r.id): r.depth for r in R.QUERIES["call_chain_levels"](spark, "").collect()} == out
+    tree = [(short(r.id), r.depth, r.truncated, r.cycle) for r in R.QUERIES["call_chain_tree"](spark, "").collect()]
+    assert [x for x in tree if x[0] in ("a4", "a5", "a3")] == [("a3", 4, False, False), ("a4", 5, False, False), ("a5", 6, True, False), ("a3", 3, False, True)]
+    # a10 is 10 calls away, the farthest within PATH_LENGTH; the way that does without the short cut has 11.
+    paths = [[short(x) for x in r.path.split(" > ")] for r in R.QUERIES["find_paths"](spark, "").collect()]
+    assert paths == [["root", "a0", "a1", *[f"a{i}" for i in range(3, 11)]]]
