@@ -26,6 +26,8 @@ from ..session import materialize
 
 #: Nodes that one task solves at most, at some 100 bytes each.
 TASK_NODES = 1_000_000
+#: Partitions that a forest of any size is contracted in at least.
+PARTS = 8
 
 _FRAGMENT = "node long, exit long, root long, kind string, up array<long>"
 
@@ -82,9 +84,9 @@ _NONE = "cast(array() as array<long>)"
 
 def _solve(edges: DataFrame, total: int, block: str | None, task_nodes: int, level: int) -> DataFrame:
     """``node, root, kind, up`` for the forest ``edges`` (node, parent[, block]): ``up`` lists all ancestors, nearest first."""
-    if total <= task_nodes:
+    if level and total <= task_nodes:
         return edges.select("node", "parent").coalesce(1).mapInArrow(_contract, _FRAGMENT).select("node", "root", "kind", "up")
-    parts = -(-total // task_nodes) * 2
+    parts = max(PARTS, -(-total // task_nodes) * 2)
     if block:
         # Blocks beyond half a task are salted by node; there are fewer of them than 2 * parts.
         large = edges.groupBy(block).count().where(F.col("count") > task_nodes / 2)
@@ -96,7 +98,7 @@ def _solve(edges: DataFrame, total: int, block: str | None, task_nodes: int, lev
     exits = fragments.where("exit is not null").select(F.col("exit").alias("node")).distinct()
     quotient = materialize(fragments.join(exits, "node", "left_semi"), "quotient")
     count = quotient.count()
-    if count > 0.7 * total:
+    if count > task_nodes and count > 0.7 * total:
         solved = _by_doubling(quotient.withColumnRenamed("exit", "parent"))
     else:
         inner = _solve(quotient.select("node", F.col("exit").alias("parent")), count, None, task_nodes, level + 1)

@@ -61,3 +61,14 @@ def test_base_names(spark):
     assert {r.seq: r.parent_seq for r in H.class_parents(df).collect()} == {1: None, 2: 1, 3: 1, 4: None, 5: None, 6: 2, 7: None}
     assert sorted((r.ancestor, r.descendant, r.distance) for r in H.descendants(H.class_hierarchy(df)).collect()) == [(1, 2, 1), (1, 3, 1), (1, 6, 2), (2, 6, 1)]
     assert H.class_hierarchy(df.limit(0)).collect() == []
+
+
+def test_small_forests_are_contracted_too(spark, monkeypatch):
+    # Chains of 12 through blocks of 4, a ring through all blocks and a way into it.
+    edges = [(100 * c + i, 100 * c + i - 1 if i else None, i // 4) for c in range(6) for i in range(12)]
+    edges += [(1000 + i, 1000 + (i + 1) % 12, i // 4) for i in range(12)] + [(2000, 1005, 0), (2001, 2000, 1)]
+    quotients = []
+    fill = H._fill
+    monkeypatch.setattr(H, "_fill", lambda inner, quotient: quotients.append(quotient.count()) or fill(inner, quotient))
+    assert run(spark, edges, block="block") == brute([e[:2] for e in edges])
+    assert len(quotients) == 1 and 0 < quotients[0] < len(edges)
