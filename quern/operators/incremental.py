@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import current_functions, entity_id, latest, tidy
 from ..session import fresh_path
-from .versions import VersionedTable
+from .versions import VersionedTable, process_changes
 
 #: The statuses of a successful run.
 SUCCESS = ("ok", "success")
@@ -50,3 +50,40 @@ def function_changes(spark: SparkSession, functions: DataFrame, vectors: DataFra
     before = table.append(stored_state(vectors, runs))
     after = table.upsert(current_state(functions), ["id"], lambda a, b: F.col(f"{a}.hash") == F.col(f"{b}.hash"))
     return table.changes(before, after).withColumnRenamed("_q_change", "change")
+
+
+class Interrupted(RuntimeError):
+    """A run that broke off between its files and its commit."""
+
+
+def processed_functions(spark: SparkSession, functions: DataFrame, vectors: DataFrame, runs: DataFrame) -> DataFrame:
+    """``id, hash``: the functions that incremental runs over several versions of the table process.
+
+    Version 0 is the state that successful runs left, version 1 the functions modified up to the middle
+    of the known times, version 2 all of them. The run over version 1 breaks off before its commit; the
+    next one finds by the manifests what both versions changed. A row that a version took
+    away and a later one gave back unchanged is not processed.
+    """
+    source, output = VersionedTable(spark, fresh_path(spark, "source")), VersionedTable(spark, fresh_path(spark, "output"))
+    same = lambda a, b: F.col(f"{a}.hash") == F.col(f"{b}.hash")
+    first = source.append(stored_state(vectors, runs))
+    output.append(spark.createDataFrame([], "id string, hash string"), {"source": first})
+
+    def run(changes: DataFrame) -> DataFrame:
+        rows = changes.where("_q_change = 'insert'").drop("_q_change")
+        return rows.join(changes.where("_q_change = 'delete'").drop("_q_change"), ["id", "hash"], "left_anti")
+
+    def breaks_off(changes: DataFrame) -> DataFrame:
+        output._write(run(changes), "data")
+        raise Interrupted
+
+    middle = functions.agg(F.percentile_approx(F.col("modified_at"), 0.5)).first()[0]
+    early = functions.where(F.col("modified_at").isNull() | (F.col("modified_at") <= F.lit(middle)))
+    source.upsert(current_state(early), ["id"], same, remove_missing=True)
+    try:
+        process_changes(source, output, breaks_off)
+    except Interrupted:
+        pass
+    source.upsert(current_state(functions), ["id"], same, remove_missing=True)
+    process_changes(source, output, run)
+    return output.snapshot()

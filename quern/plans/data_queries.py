@@ -18,6 +18,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_changes(spark, d).where("change = 'insert'").select("id")
 
 
+def p3_processed(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.processed_functions(spark, table(spark, d, "code_functions"), table(spark, d, "code_vectors"), table(spark, d, "sync_runs"))
+
+
 def p6_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     out = hierarchy.class_hierarchy(table(spark, d, "code_classes"))
     return out.select(F.col("node").alias("seq"), F.col("parent").alias("parent_seq"), F.col("root").alias("root_seq"), "kind", "depth", "path")
@@ -31,7 +35,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_hierarchy(spark, d).where("parent_seq is not null").select("seq", "root_seq")
 
 
-QUERIES = {"p3_found": p3_found, "p3_changes": p3_changes, "p6_found": p6_found, "p6_hierarchy": p6_hierarchy, "p6_descendants": p6_descendants}
+QUERIES = {"p3_found": p3_found, "p3_changes": p3_changes, "p3_processed": p3_processed, "p6_found": p6_found, "p6_hierarchy": p6_hierarchy, "p6_descendants": p6_descendants}
 
 _TIDY = "lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'))"
 _STATES = f"""

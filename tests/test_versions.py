@@ -72,3 +72,25 @@ def test_function_changes(spark):
     assert sorted(r.id for r in got) == ["r:b.py:g", "r:c.py:bad", "r:c.py:late", "r:c.py:never"]
     assert incremental.function_changes(spark, df([], FN), df(vecs, VEC), df(runs, RUN)).collect() == []
     assert incremental.function_changes(spark, df(fns, FN), df([], VEC), df([], RUN)).count() == 6
+
+
+def test_an_interrupted_run_over_versions_loses_and_repeats_nothing(spark):
+    import datetime as dt
+    import hashlib
+
+    from quern.plans import data_queries as D
+
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    t1, t2, t3 = (dt.datetime(2024, 1, i) for i in (1, 2, 3))
+    # early: changed in version 1 only; back: changed in 1 and as stored again in 2; twice: changed in both; late: new in 2.
+    fns = [(1, "r", "a.py", None, "early", "e2", t1, None), (2, "r", "a.py", None, "back", "x", t1, None), (3, "r", "a.py", None, "back", "b1", t3, None), (4, "r", "a.py", None, "twice", "w2", t1, None),
+           (5, "r", "a.py", None, "twice", "w3", t3, None), (6, "r", "a.py", None, "late", "l", t2, None), (7, "r", "a.py", None, "kept", "k", t3, None), (8, None, "a.py", None, "f", "n", t1, None), (9, "r", "a.py", None, "void", None, t1, None)]
+    vecs = [(i, f"r:a.py:{n}", h(c), 1, t1) for i, (n, c) in enumerate([("early", "e1"), ("back", "b1"), ("twice", "w1"), ("kept", "k"), ("gone", "g")])]
+    df = lambda x, s: spark.createDataFrame(x, s)
+    given = df(fns, FN), df(vecs, VEC), df([(1, 1, t1, "ok")], RUN)
+    got = sorted(((r.id, r.hash) for r in incremental.processed_functions(spark, *given).collect()), key=str)
+    assert got == sorted([("r:a.py:early", h("e2")), ("r:a.py:twice", h("w3")), ("r:a.py:late", h("l")), (None, h("n")), ("r:a.py:void", None)], key=str)
+    assert "p3_processed" in D.QUERIES
+    for part in ((df([], FN), *given[1:]), (given[0], df([], VEC), df([], RUN))):
+        want = incremental.function_changes(spark, *part).where("change = 'insert'").select("id", "hash")
+        assert rows(incremental.processed_functions(spark, *part)) == rows(want)
