@@ -93,6 +93,22 @@ def test_probes_visit_in_order_of_success():
     assert sorted(np.concatenate([table.rows(b) for b in range(len(table.buckets))])) == list(range(4000))
 
 
+def test_cells_large_enough_to_be_hashed():
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=64) + rng.normal(size=(5000, 64)) * 0.9).astype(np.float32)
+    x[4000:] = x[:1000] + rng.normal(size=(1000, 64)).astype(np.float32) * 0.3
+    assert neighbors.hash_functions(5000) > 0 == neighbors.hash_functions(3400)
+    u, ids = neighbors.unit(x), np.arange(5000)
+    s = u @ u.T
+    i, j = neighbors.pairs_beyond(x, None, 0.9)
+    want = set(zip(*np.nonzero(np.triu(s >= 0.9, 1))))
+    assert len(want) > 500 and len(want & set(zip(i, j))) >= 0.999 * len(want)
+    q = ids[::50]
+    i, j, _ = neighbors.nearest(x[q], x, 10, q, ids, 1.0, 0.97, 1)
+    s[ids, ids] = -2
+    assert sum(len(set(np.argsort(-s[a])[:10]) & set(j[i == n])) for n, a in enumerate(q)) >= 0.97 * 10 * len(q)
+
+
 # -- 4 ------------------------------------------------------------------------------------------
 def jaccard_pairs(rows, t=0.6):
     import re
