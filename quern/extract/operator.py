@@ -1,7 +1,7 @@
 """The extraction operator: files in, entities out.
 
-Each file gives its functions, classes, types and one row for itself, numbered in the order of
-paths. A file that can't be read gives its file row at least; nothing stops the others.
+Each file gives its functions, classes, types and one row for itself, numbered by their place in the file: ``(file_path, seq)``
+orders all entities, whichever files are extracted together. A file that can't be read gives its file row at least; nothing stops the others.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import ENTITY
@@ -26,8 +25,8 @@ def extract(text: str, language: str) -> tuple[list[dict], list[dict], list[dict
     return python_entities(text) if language == "python" else brace_entities(text, language)
 
 
-def file_rows(path: str, language: str, content: bytes | None, repo: str, number: int) -> list[dict]:
-    """All entities of one file; ``seq`` counts from ``number``."""
+def file_rows(path: str, language: str, content: bytes | None, repo: str) -> list[dict]:
+    """All entities of one file; ``seq`` is the place in it."""
     text = (content or b"").decode("utf-8", "replace")
     try:
         functions, classes, types, imports = extract(text, language)
@@ -41,12 +40,12 @@ def file_rows(path: str, language: str, content: bytes | None, repo: str, number
         ids.append(f"{repo}:{path}:{entity}")
     rows.append({"entity_type": "file", "name": path.rsplit("/", 1)[-1], "start_line": 1, "end_line": text.count("\n") + 1, "imports": imports, "defines": ids})
     for i, r in enumerate(rows):
-        r |= {"repo": repo, "file_path": path, "language": language, "seq": number + i}
+        r |= {"repo": repo, "file_path": path, "language": language, "seq": i}
     return rows
 
 
 def extract_entities(files: DataFrame, repo: str) -> DataFrame:
-    """Entities of ``file_path, language, content``; ``seq`` orders by path, then by place in the file."""
+    """Entities of ``file_path, language, content``; ``seq`` is the place in the file. One pass: contents are read once."""
     spark = files.sparkSession
     schema = to_arrow_schema(ENTITY)
     names = ENTITY.names
@@ -55,10 +54,7 @@ def extract_entities(files: DataFrame, repo: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, language, content in zip(*(b.column(i) for i in range(3))):
-                rows = file_rows(path.as_py(), language.as_py(), content.as_py(), shared.value, 0)
+                rows = file_rows(path.as_py(), language.as_py(), content.as_py(), shared.value)
                 yield pa.RecordBatch.from_pylist([{k: r.get(k) for k in names} for r in rows], schema=schema)
 
-    rows = files.select("file_path", "language", "content").mapInArrow(run, ENTITY)
-    # The rank of a file's path: paths are sorted by range, so this is one pass without a single-task sort.
-    ranks = files.select("file_path").distinct().sort("file_path").withColumn("_rank", F.monotonically_increasing_id())
-    return rows.join(ranks, "file_path").withColumn("seq", F.col("_rank") * 100_000 + F.col("seq")).drop("_rank").select(*names)
+    return files.select("file_path", "language", "content").mapInArrow(run, ENTITY)

@@ -50,12 +50,19 @@ def identified(df: DataFrame, class_hash: str = "header") -> DataFrame:
 
 
 def deduplicated(entities: DataFrame) -> DataFrame:
-    """One row an id: the attributes of the last, the place (``seq``) of the first."""
-    w = Window.partitionBy("id").orderBy(F.col("seq").desc())
-    first = F.min("seq").over(Window.partitionBy("id"))
+    """One row an id: the attributes of the last, the place (``seq``) of the first. Rows without an id are all kept."""
+    # Rows without an id are windows of their own, so that many of them don't meet in one task.
+    key = [F.col("id"), F.when(F.col("id").isNull(), F.col("seq"))]
+    w = Window.partitionBy(*key).orderBy(F.col("seq").desc())
+    first = F.min("seq").over(Window.partitionBy(*key))
     return entities.withColumn("_first", first).withColumn("_r", F.row_number().over(w)).where("_r = 1").withColumn("seq", F.col("_first")).drop("_first", "_r")
 
 
+def repo_of_id(entity: Column) -> Column:
+    """What stands before the first colon."""
+    return F.substring_index(entity, ":", 1)
+
+
 def file_of_id(entity: Column) -> Column:
     """What stands between the first and the last colon; of an id with one colon, what follows it."""
     parts = F.size(F.split(entity, ":"))

@@ -26,9 +26,9 @@ def external_id(name: Column) -> Column:
     return F.concat(F.lit("external:"), name)
 
 
-def real_nodes(entities: DataFrame) -> DataFrame:
-    """One node an id."""
-    return deduplicated(entities).select("id", "repo", F.col("entity_type").alias("type"), "name", "file_path", "start_line", "end_line", "seq")
+def real_nodes(entities: DataFrame, unique: bool = False) -> DataFrame:
+    """One node an id; ``unique`` promises that the entities have one row an id already."""
+    return (entities if unique else deduplicated(entities)).select("id", "repo", F.col("entity_type").alias("type"), "name", "file_path", "start_line", "end_line", "seq")
 
 
 def _registrations(entities: DataFrame) -> DataFrame:
@@ -119,12 +119,18 @@ class Graph:
         self.nodes, self.edges = nodes, edges
 
     @classmethod
-    def build(cls, entities: DataFrame, keep: bool = True) -> "Graph":
-        """The graph of an entity table; written to the shared folder, so that questions don't build it again, unless ``keep`` is false."""
+    def build(cls, entities: DataFrame, keep: bool = True, order: tuple[str, ...] = ("seq",), unique: bool = False) -> "Graph":
+        """The graph of an entity table; written to the shared folder, so that questions don't build it again, unless ``keep`` is false.
+
+        ``order`` names the columns that say which registration is the last: an engine's entities are numbered within their
+        file and ordered by path first, so that re-parsing a file keeps its place. ``unique`` promises one row an id.
+        """
         rows = entities if "id" in entities.columns else identified(entities)
+        if len(order) > 1:
+            rows = rows.withColumn("seq", F.struct(*order))
         written = materialize if keep else lambda df, label: df
         rows = written(rows.select("id", "repo", "file_path", "entity_type", "name", "seq", "start_line", "end_line", "language", "class_name", "calls", "bases", "imports", "defines"), "entities")
-        nodes = real_nodes(rows)
+        nodes = real_nodes(rows, unique)
         edges = written(build_edges(rows, nodes), "edges")
         return cls(written(nodes.unionByName(external_nodes(edges)), "nodes"), edges)
 
@@ -184,5 +190,11 @@ class Graph:
 
 
 def replace_files(entities: DataFrame, paths: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The entity table with the rows of some files (``file_path``) replaced; build the graph from the result."""
-    return entities.join(paths.select("file_path").distinct(), "file_path", "left_anti").unionByName(fresh, allowMissingColumns=True)
+    """The entity table with the rows of some files (``repo, file_path``) replaced; build the graph from the result.
+
+    A file is a path in a repository; where ``paths`` has no ``repo``, the path in any of them.
+    """
+    keys = ["repo", "file_path"] if "repo" in paths.columns else ["file_path"]
+    gone = paths.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return entities.join(gone, match, "left_anti").unionByName(fresh, allowMissingColumns=True)

@@ -57,12 +57,13 @@ class Interrupted(RuntimeError):
 
 
 def processed_functions(spark: SparkSession, functions: DataFrame, vectors: DataFrame, runs: DataFrame) -> DataFrame:
-    """``id, hash``: the functions that incremental runs over several versions of the table process.
+    """``id, hash``: the functions that incremental runs over a growing table process.
 
-    Version 0 is the state that successful runs left, version 1 the functions modified up to the middle
-    of the known times, version 2 all of them. The run over version 1 breaks off before its commit; the
-    next one finds by the manifests what both versions changed. A row that a version took
-    away and a later one gave back unchanged is not processed.
+    Version 0 of the source is the state that successful runs left; versions 1, 2 and 3 bring the functions modified up
+    to a third and two thirds of the time between the first and the last change, and all of them. A run processes
+    version 1; the run over version 2 breaks off before its commit; the last one finds by the manifests
+    what versions 2 and 3 changed. A row that one version took away and a later one gave back unchanged, both since
+    the last commit, is not processed. Rows without a time are in every version.
     """
     source, output = VersionedTable(spark, fresh_path(spark, "source")), VersionedTable(spark, fresh_path(spark, "output"))
     same = lambda a, b: F.col(f"{a}.hash") == F.col(f"{b}.hash")
@@ -77,13 +78,15 @@ def processed_functions(spark: SparkSession, functions: DataFrame, vectors: Data
         output._write(run(changes), "data")
         raise Interrupted
 
-    middle = functions.agg(F.percentile_approx(F.col("modified_at"), 0.5)).first()[0]
-    early = functions.where(F.col("modified_at").isNull() | (F.col("modified_at") <= F.lit(middle)))
-    source.upsert(current_state(early), ["id"], same, remove_missing=True)
-    try:
-        process_changes(source, output, breaks_off)
-    except Interrupted:
-        pass
-    source.upsert(current_state(functions), ["id"], same, remove_missing=True)
-    process_changes(source, output, run)
+    at = F.unix_micros(F.col("modified_at").cast("timestamp"))
+    low, high = functions.agg(F.min(at), F.max(at)).first()
+    for third, job in ((1, run), (2, breaks_off), (3, run)):
+        part = functions
+        if third < 3 and low is not None:
+            part = functions.where(at.isNull() | (at <= F.lit(low + (high - low) * third // 3)))
+        source.upsert(current_state(part), ["id"], same)
+        try:
+            process_changes(source, output, job)
+        except Interrupted:
+            pass
     return output.snapshot()

@@ -1,7 +1,7 @@
 """Keeping the vector table in step with the entities: what is new, changed, unchanged or gone.
 
 Defined cases: entities given twice count once, the last one; a stored row without a hash counts as changed; a
-stored id is only deleted if its file is among the parsed ones, or, with ``reconcile``, if it is missing at all.
+stored id is only deleted if its file, in the same repository, is among the parsed ones, or, with ``reconcile``, if it is missing at all.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from .encode import Encoder
 def actions(given: DataFrame, stored: DataFrame, parsed_files: DataFrame | None = None, reconcile: bool = False) -> DataFrame:
     """``id, action`` with ``added``, ``updated``, ``skipped`` or ``deleted``.
 
-    ``given`` and ``stored`` have ``id, content_hash`` with one row an id; ``parsed_files`` has ``file_path``, by default the files of ``given``'s ids.
+    ``given`` and ``stored`` have ``id, content_hash`` with one row an id; ``parsed_files`` has ``repo, file_path``, by default the files of ``given``'s ids.
     """
     g, s = given.select("id", F.col("content_hash").alias("new")), stored.select("id", F.coalesce("content_hash", F.lit("")).alias("old"))
     both = g.withColumn("_g", F.lit(True)).join(s.withColumn("_s", F.lit(True)), "id", "full")
-    both = both.withColumn("file_path", E.file_of_id(F.col("id")))
-    files = (parsed_files if parsed_files is not None else given.select(E.file_of_id(F.col("id")).alias("file_path"))).select("file_path").distinct().withColumn("_parsed", F.lit(True))
-    both = both.join(files, "file_path", "left")
+    of = [E.repo_of_id(F.col("id")).alias("repo"), E.file_of_id(F.col("id")).alias("file_path")]
+    both = both.select("*", *of)
+    files = (parsed_files if parsed_files is not None else given.select(*of)).select("repo", "file_path").distinct().withColumn("_parsed", F.lit(True))
+    both = both.join(files, ["repo", "file_path"], "left")
     gone = F.lit(True) if reconcile else F.col("_parsed")
     action = (
         F.when(F.col("_s").isNull(), "added").when(F.col("_g").isNotNull() & (F.col("new") == F.col("old")), "skipped")
@@ -51,11 +52,12 @@ def sync(entities: DataFrame, stored: DataFrame, encoder: Encoder, parsed_files:
     return out, acts
 
 
-def sync_file(entities: DataFrame, stored: DataFrame, path: str, encoder: Encoder) -> tuple[DataFrame, DataFrame]:
-    """As :func:`sync`, for one file."""
-    own, rest = stored.where(F.col("file_path") == path), stored.where(~F.coalesce(F.col("file_path") == path, F.lit(False)))
-    files = stored.sparkSession.createDataFrame([(path,)], "file_path string")
-    out, acts = sync(entities.where(F.col("file_path") == path), own, encoder, files)
+def sync_file(entities: DataFrame, stored: DataFrame, repo: str, path: str, encoder: Encoder) -> tuple[DataFrame, DataFrame]:
+    """As :func:`sync`, for one file of a repository."""
+    here = (F.col("repo") == repo) & (F.col("file_path") == path)
+    own, rest = stored.where(here), stored.where(~F.coalesce(here, F.lit(False)))
+    files = stored.sparkSession.createDataFrame([(repo, path)], "repo string, file_path string")
+    out, acts = sync(entities.where(here), own, encoder, files)
     return rest.unionByName(out, allowMissingColumns=True), acts
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import filesystem
+from ..session import filesystem, materialize
 
 _DV = T.StructType([T.StructField("_q_file", T.StringType()), T.StructField("_q_pos", T.LongType())])
 
@@ -144,12 +144,15 @@ class VersionedTable:
         return out.drop("_q_file", "_q_pos")
 
     # -- writing ---------------------------------------------------------------------------
-    def append(self, df: DataFrame, processed: dict | None = None) -> int:
-        """Add rows; ``processed`` is stored in the same commit."""
-        base = self.version()
-        m = self.manifest(base)
+    def append(self, df: DataFrame, processed: dict | None = None, base: dict | None = None) -> int:
+        """Add rows; ``processed`` is stored in the same commit.
+
+        ``base`` is the manifest that the rows were made from, by default the present one: a commit
+        after it is a conflict.
+        """
+        m = self.manifest(self.version()) if base is None else base
         files = m["files"] | {n: {"path": p} for n, p in self._write(df, "data").items()}
-        return self._commit(base, files, m["schema"] or df.schema.json(), m["processed"] | (processed or {}))
+        return self._commit(m["version"], files, m["schema"] or df.schema.json(), m["processed"] | (processed or {}))
 
     def overwrite(self, df: DataFrame, processed: dict | None = None) -> int:
         base = self.version()
@@ -170,7 +173,8 @@ class VersionedTable:
         if m["schema"] is None or not m["files"]:
             return self.append(df, processed)
         stored = self._live(m, list(m["files"])).alias("stored")
-        given = df.alias("given")
+        # Written once: three joins read it.
+        given = materialize(df, "given").alias("given")
         matched = [F.col(f"stored.{k}") == F.col(f"given.{k}") for k in key]
         keep = F.coalesce(same("stored", "given"), F.lit(False))
         unchanged = given.join(stored, [*matched, keep], "left_anti")
@@ -197,15 +201,17 @@ def process_changes(source: VersionedTable, output: VersionedTable, run: Callabl
     """Run ``run`` over the changes of ``source`` that ``output`` has not seen; append its result.
 
     Returns the source version that ``output`` has now processed. The version is part of the
-    output's commit, so a failure at any moment leaves both as they were.
+    output's commit, so a failure at any moment leaves both as they were. What was processed and the
+    version that the commit follows come from one manifest of the output: a run that commits in
+    between makes this commit a conflict, and the changes are looked at anew.
     """
     for _ in range(tries):
-        seen = output.manifest(output.version())["processed"].get(name, -1)
-        until = source.version()
-        if seen == until:
-            return until
+        base = output.manifest(output.version())
+        seen, until = base["processed"].get(name, -1), source.version()
+        if seen >= until:
+            return seen
         try:
-            output.append(run(source.changes(seen, until)), {name: until})
+            output.append(run(source.changes(seen, until)), {name: until}, base)
             return until
         except VersionConflict:
             continue

@@ -48,6 +48,13 @@ stored as (
 cur as (select repo || ':' || clean_path || ':' || coalesce(class_name || '.', '') || name as id, sha256(code) as hash from ({CURRENT_FUNCTIONS}))
 """
 
+#: The state after a part of the functions: their current rows over what was there before.
+_PART = CURRENT_FUNCTIONS.replace("from code_functions", "from (select * from code_functions where modified_at is null or epoch_us(modified_at) <= (select min(epoch_us(modified_at)) + (max(epoch_us(modified_at)) - min(epoch_us(modified_at))) // 3 from code_functions))")
+_EARLY = f"""{_STATES.rstrip()},
+early as (select repo || ':' || clean_path || ':' || coalesce(class_name || '.', '') || name as id, sha256(code) as hash from ({_PART})),
+before as (select id, hash from early where id is not null union all select id, hash from stored where id not in (select id from early where id is not null))
+"""
+
 _PARENTS = f"""
 with recursive cur as ({CURRENT_CLASSES}),
 b as (select seq, repo, clean_path, unnest(bases) base, generate_subscripts(bases, 1) pos from cur),
@@ -70,5 +77,7 @@ ORACLES = {
     "p3_found": _STATES + "select cur.id from cur left join stored on stored.id = cur.id where stored.id is null or stored.hash is null or cur.hash is null or stored.hash <> cur.hash",
     "p3_changes": _STATES + """select cur.id, cur.hash, 'insert' as change from cur left join stored on stored.id = cur.id where stored.id is null or stored.hash is null or cur.hash is null or stored.hash <> cur.hash
 union all select stored.id, stored.hash, 'delete' from stored join cur on stored.id = cur.id where stored.hash is null or cur.hash is null or stored.hash <> cur.hash""",
+    "p3_processed": _EARLY + """select early.id, early.hash from early left join stored on stored.id = early.id where early.id is null or stored.hash is null or early.hash is null or stored.hash <> early.hash
+union all select cur.id, cur.hash from cur left join before on before.id = cur.id where cur.id is null or before.hash is null or cur.hash is null or before.hash <> cur.hash""",
     "p6_found": _PARENTS + """select seq, case when looped then list_min(path[list_position(path, path[-1]):]) else path[-1] end as root_seq from fin""",
 }

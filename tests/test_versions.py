@@ -51,6 +51,23 @@ def test_a_failed_run_skips_and_repeats_nothing(spark):
         out._commit(0, {}, out.manifest(0)["schema"], {})
 
 
+def test_a_run_that_another_one_overtakes_repeats_nothing(spark):
+    source, out = VersionedTable(spark, fresh_path(spark, "s")), VersionedTable(spark, fresh_path(spark, "o"))
+    source.append(spark.createDataFrame([("a", "1"), ("b", "1")], "k string, v string"))
+    keep = lambda ch: ch.where("_q_change = 'insert'").select("k")
+    calls = []
+
+    def overtaken(ch):
+        calls.append(1)
+        if len(calls) == 1:  # another runner commits while this one works
+            process_changes(source, out, keep)
+            source.append(spark.createDataFrame([("c", "1")], "k string, v string"))
+        return keep(ch)
+
+    assert process_changes(source, out, overtaken) == 1
+    assert rows(out.snapshot()) == [("a",), ("b",), ("c",)] and len(calls) == 2
+
+
 FN = "seq long, repo string, file_path string, class_name string, name string, code string, modified_at timestamp, hash string"
 VEC = "vec_id long, id string, content_hash string, run_id long, updated_at timestamp"
 RUN = "run_id long, attempt int, finished_at timestamp, status string"
@@ -81,16 +98,18 @@ def test_an_interrupted_run_over_versions_loses_and_repeats_nothing(spark):
     from quern.plans import data_queries as D
 
     h = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    t1, t2, t3 = (dt.datetime(2024, 1, i) for i in (1, 2, 3))
-    # early: changed in version 1 only; back: changed in 1 and as stored again in 2; twice: changed in both; late: new in 2.
-    fns = [(1, "r", "a.py", None, "early", "e2", t1, None), (2, "r", "a.py", None, "back", "x", t1, None), (3, "r", "a.py", None, "back", "b1", t3, None), (4, "r", "a.py", None, "twice", "w2", t1, None),
-           (5, "r", "a.py", None, "twice", "w3", t3, None), (6, "r", "a.py", None, "late", "l", t2, None), (7, "r", "a.py", None, "kept", "k", t3, None), (8, None, "a.py", None, "f", "n", t1, None), (9, "r", "a.py", None, "void", None, t1, None)]
+    t1, t2, t3 = (dt.datetime(2024, 1, i) for i in (1, 5, 7))  # versions 1, 2 and 3
+    # early: changed in version 1 only; back: changed in 2 and as stored again in 3; twice: changed in 1 and 3; late: new in 2.
+    fns = [(1, "r", "a.py", None, "early", "e2", t1, None), (2, "r", "a.py", None, "back", "x", t2, None), (3, "r", "a.py", None, "back", "b1", t3, None), (4, "r", "a.py", None, "twice", "w2", t1, None),
+           (5, "r", "a.py", None, "twice", "w3", t3, None), (6, "r", "a.py", None, "late", "l", t2, None), (7, "r", "a.py", None, "kept", "k", t3, None)]
     vecs = [(i, f"r:a.py:{n}", h(c), 1, t1) for i, (n, c) in enumerate([("early", "e1"), ("back", "b1"), ("twice", "w1"), ("kept", "k"), ("gone", "g")])]
     df = lambda x, s: spark.createDataFrame(x, s)
     given = df(fns, FN), df(vecs, VEC), df([(1, 1, t1, "ok")], RUN)
     got = sorted(((r.id, r.hash) for r in incremental.processed_functions(spark, *given).collect()), key=str)
-    assert got == sorted([("r:a.py:early", h("e2")), ("r:a.py:twice", h("w3")), ("r:a.py:late", h("l")), (None, h("n")), ("r:a.py:void", None)], key=str)
+    assert got == sorted([("r:a.py:early", h("e2")), ("r:a.py:twice", h("w2")), ("r:a.py:twice", h("w3")), ("r:a.py:late", h("l"))], key=str)
     assert "p3_processed" in D.QUERIES
-    for part in ((df([], FN), *given[1:]), (given[0], df([], VEC), df([], RUN))):
-        want = incremental.function_changes(spark, *part).where("change = 'insert'").select("id", "hash")
-        assert rows(incremental.processed_functions(spark, *part)) == rows(want)
+    assert incremental.processed_functions(spark, df([], FN), *given[1:]).collect() == []
+    # Without a stored state all functions are new once, and ``twice`` changed after it was processed.
+    alone = given[0], df([], VEC), df([], RUN)
+    want = incremental.function_changes(spark, *alone).where("change = 'insert'").select("id", "hash")
+    assert rows(incremental.processed_functions(spark, *alone)) == sorted([*rows(want), ("r:a.py:twice", h("w2"))], key=str)
