@@ -2,10 +2,15 @@
 
 Two levels. A coarse layer, fitted on a bounded sample, parts the vectors into cells around directions
 where they crowd; every vector is stored in its home cell, and cells that a neighbour may lie in as
-well are visited too. Within a cell, p-stable hash tables (Gaussian projections cut into buckets) are
-probed in the order of estimated success: the chance that a neighbour at the given distance lies in a
-perturbed bucket is a product of normal probabilities, and buckets are visited from the likeliest on until the
-chances sum up to the wanted success. The tables' candidates are merged and ranked by their exact cosine.
+well are visited too. Within a cell, of whatever size, several p-stable hash tables (Gaussian directions, orthogonal
+to one another over all tables, cut into buckets of a fixed width) hold the rows. How likely a bucket holds a neighbour follows from how far
+it lies from the query, and as the tables' directions are orthogonal their estimates add up: for all buckets in use they are one
+matrix product. Buckets are visited from the likeliest on, the tables' candidates are merged and ranked by their exact cosine.
+
+* Pairs: a bucket is left out only if even its nearest point lies beyond the distance, in all tables together. Cells
+  are visited with a margin that no pair can exceed either. So no pair is lost: this search is exact.
+* Neighbours: the likeliest buckets give a first k-th best, and buckets are visited until a row nearer than that
+  would have been met with the chance ``success``.
 
 Cells larger than a block are worked on in pairs of blocks, so no task holds an unbounded group.
 
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +38,12 @@ SAMPLE = 20_000
 CENTRES, MERGE = 128, 0.55
 #: Vectors of one block; a task holds two.
 BLOCK = 80_000
-#: Queries and rows ranked at once, so that no intermediate outgrows some 60 MB.
-_TILE, _CHUNK = 1024, 8192
+#: Hash tables of a cell for pairs and for neighbours, and functions of each; the width of a bucket in units of the projections' spread.
+PAIR_TABLES, TABLES, FUNCTIONS, WIDTH = 4, 6, 8, 0.25
+#: Share of the buckets that gives the first k-th best.
+FIRST = 0.05
+#: Queries and buckets judged at once, and candidates ranked at once, so that no intermediate outgrows some 60 MB.
+_TILE, _CHUNK, _RANKED = 512, 16_384, 100_000
 
 
 def vectors_of(column: pa.Array, d: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +93,8 @@ class Cells:
         self.centres = c
         self.cell = np.array([roots.index(find(i)) for i in range(len(c))])
         self.n = len(roots)
+        #: The greatest distance of two centres.
+        self.apart = float(np.sqrt(max(0.0, 2 - 2 * float((c @ c.T).min()))))
         home = self.similarity(u).argmax(axis=1)
         self.share = np.bincount(home, minlength=self.n) / len(u)
 
@@ -98,131 +110,130 @@ class Cells:
         return np.maximum(1, np.ceil(self.share * total / block)).astype(np.int64)
 
 
-def _phi(x: np.ndarray) -> np.ndarray:
-    """The normal distribution function (Zelen and Severo's approximation, error below 1e-7)."""
-    t = 1.0 / (1.0 + 0.2316419 * np.abs(x))
-    p = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return np.where(x >= 0, 1 - p, p)
-
+class Tables:
+    """The hash tables over the unit rows ``u`` of a cell.
 
-class Table:
-    """One p-stable hash table over the rows of a cell."""
+    ``visited`` counts the rows ranked so far.
+    """
 
-    def __init__(self, u: np.ndarray, functions: int, width: float, rng: np.random.Generator):
+    def __init__(self, u: np.ndarray, tables: int, functions: int = FUNCTIONS, width: float = WIDTH, seed: int = 11):
+        rng = np.random.default_rng(seed)
         d = u.shape[1]
-        self.a = np.linalg.qr(rng.normal(size=(d, max(functions, 1))))[0].astype(np.float32)[:, :functions]
-        self.b = (rng.random(functions) * width).astype(np.float32)
-        self.width = width
-        codes = np.floor((u @ self.a + self.b) / width).astype(np.int64)
-        self.buckets, inverse = np.unique(codes, axis=0, return_inverse=True) if functions else (np.zeros((1, 0), np.int64), np.zeros(len(u), np.int64))
+        k = min(d, tables * functions)
+        self.centre = u.mean(axis=0) if len(u) else np.zeros(d, np.float32)
+        self.a = np.linalg.qr(rng.normal(size=(d, k)))[0].astype(np.float32)
+        p = (u - self.centre) @ self.a
+        self.spread = max(float(np.sqrt((p * p).mean())) if len(u) else 0.0, 1e-4)
+        self.width = width * self.spread
+        offset = (rng.random(k) * self.width).astype(np.float32)
+        codes = np.floor((p + offset) / self.width).astype(np.int32)
+        # A row's buckets in all tables; rows that share all of them (copies, above all) are judged once.
+        codes, inverse = np.unique(codes, axis=0, return_inverse=True)
         inverse = inverse.reshape(-1)
         self.order = np.argsort(inverse, kind="stable")
-        self.ends = np.cumsum(np.bincount(inverse, minlength=len(self.buckets)))
-
-    def rows(self, bucket: int) -> np.ndarray:
-        return self.order[(self.ends[bucket - 1] if bucket else 0): self.ends[bucket]]
-
-    def probes(self, q: np.ndarray, distance: float, success: float) -> np.ndarray:
-        """Which buckets each query visits: the likeliest first, until their chances reach ``success``."""
-        if not self.a.shape[1]:
-            return np.ones((len(q), 1), bool)
-        x = q @ self.a + self.b
-        sigma = distance / math.sqrt(q.shape[1])
-        chance = np.ones((len(q), len(self.buckets)), np.float64)
-        for j in range(self.a.shape[1]):
-            values, which = np.unique(self.buckets[:, j], return_inverse=True)
-            low = (values * self.width)[None, :] - x[:, j: j + 1]
-            chance *= (_phi((low + self.width) / sigma) - _phi(low / sigma))[:, which.reshape(-1)]
-        order = np.argsort(-chance, axis=1)
-        sorted_ = np.take_along_axis(chance, order, axis=1)
-        before = np.cumsum(sorted_, axis=1) - sorted_
-        visit = np.zeros_like(chance, bool)
-        np.put_along_axis(visit, order, (before < success) & (sorted_ > 1e-9), axis=1)
-        return visit
-
-
-def hash_functions(n: int) -> int:
-    """Hash functions for a table of ``n`` rows: buckets keep some thousand rows, so ranking them stays one matrix product."""
-    return int(max(0, min(6, round(math.log2(max(n, 1) / 2048) / 1.5))))
-
-
-def _tables(u: np.ndarray, count: int, seed: int) -> list[Table]:
-    rng = np.random.default_rng(seed)
-    k = hash_functions(len(u))
-    spread = float((u - u.mean(axis=0)).std()) if len(u) else 1.0
-    return [Table(u, k, 2.2 * max(spread, 1e-3), rng) for _ in range(count if k else 1)]
-
-
-def pairs_beyond(x: np.ndarray, y: np.ndarray | None, least: float, success: float = 0.9999, tables: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the rows of ``x`` and ``y`` (or of two rows of ``x``) with cosine at least ``least``."""
-    ux, uy = unit(x), unit(x if y is None else y)
-    distance = math.sqrt(max(0.0, 2 - 2 * least))
-    found = []
-    for table in _tables(uy, tables, 11):
-        for start in range(0, len(ux), _CHUNK):
-            visit = table.probes(ux[start: start + _CHUNK], distance, success)
-            for bucket in range(len(table.buckets)):
-                queries = start + np.flatnonzero(visit[:, bucket])
-                if not len(queries):
+        self.sizes = np.bincount(inverse, minlength=len(codes))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.middle = ((codes + 0.5) * self.width - offset).astype(np.float32)
+        #: How far a row can lie from the middle of its buckets, in the tables' directions.
+        self.slack = math.sqrt(k) * self.width / 2
+        self.visited = 0
+
+    def rows(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of some buckets, and how many each has."""
+        n = self.sizes[buckets]
+        at = np.repeat(self.starts[buckets] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        self.visited += len(at)
+        return self.order[at], n
+
+    def within(self, q: np.ndarray, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(query, row)`` in parts: all rows whose buckets may hold a point within ``distance`` of a query."""
+        reach = (distance + self.slack) ** 2
+        p = (q - self.centre) @ self.a
+        own, half = (p * p).sum(axis=1), (self.middle * self.middle).sum(axis=1) / 2
+        for a in range(0, len(q), _TILE):
+            least = ((own[a: a + _TILE] - reach) / 2)[:, None]
+            for c in range(0, len(self.middle), _CHUNK):
+                near = p[a: a + _TILE] @ self.middle[c: c + _CHUNK].T - half[c: c + _CHUNK] >= least
+                i, bucket = np.nonzero(near)
+                if not len(i):
                     continue
-                rows = table.rows(bucket)
-                base = uy[rows].T
-                for a in range(0, len(queries), _TILE):
-                    q = queries[a: a + _TILE]
-                    for c in range(0, len(rows), _CHUNK):
-                        hit = ux[q] @ base[:, c: c + _CHUNK] >= least - 1e-4
-                        if hit.any():
-                            i, j = np.nonzero(hit)
-                            found.append(np.stack([q[i], rows[c + j]]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(found, axis=1)
-    if y is None:
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        i, j = i[i != j], j[i != j]
-    key = np.unique(i * len(uy) + j)
-    i, j = key // len(uy), key % len(uy)
+                ends = np.cumsum(self.sizes[c + bucket])
+                for part in np.split(np.arange(len(i)), np.searchsorted(ends, np.arange(_RANKED, int(ends[-1]), _RANKED))):
+                    if len(part):
+                        rows, n = self.rows(c + bucket[part])
+                        yield a + np.repeat(i[part], n), rows
+
+
+def pairs_beyond(x: np.ndarray, y: np.ndarray | None, least: float, tables: int = PAIR_TABLES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Indices of the rows of ``x`` and ``y`` (or of two rows of ``x``) with cosine at least ``least``, and the share of rows ranked."""
+    ux, uy = unit(x), unit(x if y is None else y)
+    held = Tables(uy, tables)
+    found = [np.zeros(0, np.int64)]
+    for i, j in held.within(ux, math.sqrt(max(0.0, 2 - 2 * least)) + 1e-4):
+        if y is None:
+            i, j = i[i < j], j[i < j]
+        near = np.einsum("ij,ij->i", ux[i], uy[j]) >= least - 1e-4
+        found.append(i[near] * len(uy) + j[near])
+    key = np.concatenate(found)
+    i, j = key // max(1, len(uy)), key % max(1, len(uy))
     a, b = x[i].astype(np.float64), (x if y is None else y)[j].astype(np.float64)
     exact = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-    return i[exact >= least], j[exact >= least]
-
-
-def _offer(best_s: np.ndarray, best_i: np.ndarray, qq: np.ndarray, rows: np.ndarray, uq: np.ndarray, ux: np.ndarray, k: int, skip: np.ndarray, ids: np.ndarray, again: bool) -> None:
-    """Put the rows that are better than the worst of a query's ``k`` best in their place."""
-    s = uq[qq] @ ux[rows].T
-    s[ids[rows][None, :] == skip[qq][:, None]] = -2.0
-    if s.shape[1] > k:
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    else:
-        top = np.tile(np.arange(s.shape[1]), (len(qq), 1))
-    cand_s = np.concatenate([best_s[qq], np.take_along_axis(s, top, axis=1)], axis=1)
-    cand_i = np.concatenate([best_i[qq], rows[top]], axis=1)
-    if again:  # another table may have found the row before
-        order = np.lexsort((-cand_s, cand_i), axis=1)
-        cand_s, cand_i = np.take_along_axis(cand_s, order, axis=1), np.take_along_axis(cand_i, order, axis=1)
-        twice = np.concatenate([np.zeros((len(qq), 1), bool), cand_i[:, 1:] == cand_i[:, :-1]], axis=1)
-        cand_s[twice] = -2.0
-    keep = np.argsort(-cand_s, axis=1, kind="stable")[:, :k]
-    best_s[qq], best_i[qq] = np.take_along_axis(cand_s, keep, axis=1), np.take_along_axis(cand_i, keep, axis=1)
-
-
-def nearest(q: np.ndarray, x: np.ndarray, k: int, skip: np.ndarray, ids: np.ndarray, distance: float, success: float, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query, row, cosine)``: the ``k`` best rows of ``x`` a query among the probed buckets; row ``ids`` equal to ``skip`` are left out."""
+    return i[exact >= least], j[exact >= least], held.visited / max(1, len(ux) * len(uy))
+
+
+def nearest(q: np.ndarray, x: np.ndarray, k: int, skip: np.ndarray, ids: np.ndarray, success: float, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``(query, row, cosine)`` of the ``k`` best rows of ``x`` (sorted by ``ids``) a query, and the share of rows ranked; rows whose id is the query's ``skip`` are left out.
+
+    What the tables' directions tell of the product of a query and a row is normal around its share of that product, if
+    they are random. So the buckets that hold a row of at least a given product with chance ``success`` are those beyond a threshold.
+    """
     uq, ux = unit(q), unit(x)
-    best_s = np.full((len(q), k), -2.0, np.float32)
-    best_i = np.full((len(q), k), -1, np.int64)
-    for table in _tables(ux, tables, 13):
-        for start in range(0, len(uq), _CHUNK):
-            visit = table.probes(uq[start: start + _CHUNK], distance, success)
-            for bucket in range(len(table.buckets)):
-                queries, rows = start + np.flatnonzero(visit[:, bucket]), table.rows(bucket)
-                for a in range(0, len(queries), _TILE):
-                    for c in range(0, len(rows), _CHUNK):
-                        _offer(best_s, best_i, queries[a: a + _TILE], rows[c: c + _CHUNK], uq, ux, k, skip, ids, tables > 1)
-    i, j = np.nonzero(best_s > -1.5)
-    row = best_i[i, j]
+    held = Tables(ux, tables, seed=13)
+    z = NormalDist().inv_cdf(success)
+    seen = uq @ held.a
+    part = np.minimum((seen * seen).sum(axis=1), 1.0)  # the share of a query that the directions see
+    noise = np.sqrt(held.spread ** 2 * part * (1 - part) + part * held.width ** 2 / 12)
+    mean = uq @ held.centre
+    first = min(len(held.middle), max(4 * k, math.ceil(FIRST * len(held.middle))))
+    out_i, out_j = [], []
+
+    def best(i: int, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, _ = held.rows(buckets)
+        rows = rows[ids[rows] != skip[i]]
+        s = ux[rows] @ uq[i]
+        if len(s) > k:  # all that tie with the k-th
+            keep = s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-6
+            rows, s = rows[keep], s[keep]
+        return rows, s
+
+    for a in range(0, len(uq), _TILE // 4):
+        score = seen[a: a + _TILE // 4] @ held.middle.T
+        top = np.argpartition(-score, first - 1, axis=1)[:, :first]
+        for i, line in enumerate(score, a):
+            rows, s = best(i, top[i - a])
+            if len(s) >= k:
+                kth = np.partition(s, len(s) - k)[len(s) - k] - mean[i]
+                more = line >= kth * part[i] - z * noise[i]
+                more[top[i - a]] = False
+            else:
+                more = np.ones(len(line), bool)
+                more[top[i - a]] = False
+            r2, s2 = best(i, np.flatnonzero(more))
+            rows, s = np.concatenate([rows, r2]), np.concatenate([s, s2])
+            if len(s) > k:
+                keep = s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-6
+                rows = rows[keep]
+            out_i.append(np.full(len(rows), i))
+            out_j.append(rows)
+    i = np.concatenate(out_i) if out_i else np.zeros(0, np.int64)
+    row = np.concatenate(out_j) if out_j else np.zeros(0, np.int64)
     a, b = q[i].astype(np.float64), x[row].astype(np.float64)
-    return i, row, (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    cosine = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    order = np.lexsort((ids[row], -cosine, i))
+    i, row, cosine = i[order], row[order], cosine[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    keep = place < k
+    return i[keep], row[keep], cosine[keep], held.visited / max(1, len(uq) * len(ux))
 
 
 def _fit(vectors: DataFrame) -> tuple[Cells, int]:
@@ -256,8 +267,9 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, d:
     cells, total = _fit(vectors)
     blocks = cells.blocks(total, block)
     shared = spark.sparkContext.broadcast((cells, blocks))  # CENTRES * d numbers
-    # Both sides visit each other's cells, so half of the way a neighbour may lie off is enough.
-    margin = 3.5 * math.sqrt(2 - 2 * least) / math.sqrt(d) * math.sqrt(2) / 2
+    # Two rows at a distance lead of their own cells by gaps that sum up to that distance times the centres' at most,
+    # so one of them visits the other's home if its margin is half of it: no pair is lost.
+    margin = math.sqrt(max(0.0, 2 - 2 * least)) * cells.apart / 2 + 1e-4
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layer, parts = shared.value
@@ -289,10 +301,10 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, d:
         task = table.column("task")[0].as_py()
         most = int(shared.value[1].max())
         if task % most == task // most % most:
-            i, j = pairs_beyond(raw[one], None, least)
+            i, j, _ = pairs_beyond(raw[one], None, least)
             i, j = one[i], one[j]
         elif len(one) and len(two):
-            i, j = pairs_beyond(raw[one], raw[two], least)
+            i, j, _ = pairs_beyond(raw[one], raw[two], least)
             i, j = one[i], two[j]
         else:
             i = j = np.zeros(0, np.int64)
@@ -305,10 +317,10 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, d:
     return units.groupBy("task").applyInArrow(search, "vec_a long, vec_b long").distinct()
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 20, block: int = BLOCK, d: int = DIMENSION, distance: float = 1.0, success: float = 0.97, tables: int = 1) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 20, block: int = BLOCK, d: int = DIMENSION, success: float = 0.9, tables: int = TABLES) -> DataFrame:
     """``vec_id, rank, neighbour, cosine`` of the query rows (those whose id ``every`` divides) against all rows.
 
-    ``distance`` is where neighbours are expected; ``success`` the chance with which a table's probes meet one.
+    ``success`` is the chance with which a cell's probes meet a neighbour.
     """
     spark = vectors.sparkSession
     cells, total = _fit(vectors)
@@ -342,7 +354,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 20, block:
             i, j, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
             order = base[np.argsort(ids[base], kind="stable")]
-            i, j, s = nearest(raw[query], raw[order], k, ids[query], ids[order], distance, success, tables)
+            i, j, s, _ = nearest(raw[query], raw[order], k, ids[query], ids[order], success, tables)
             i, j = query[i], order[j]
         return pa.table({"vec_id": ids[i], "neighbour": ids[j], "cosine": s})
 
