@@ -14,13 +14,17 @@ from .operators import graph_queries as Q
 from .operators import sync as Y
 from .operators import vectors as V
 from .operators.encode import encoder_for
-from .operators.graph import Graph
+from .operators.graph import Graph, replace_files
 from .schema import VECTOR
-from .sources.scan import source_files
+from .session import materialize
+from .sources.scan import read_files, should_process, source_files
 from .sources.snapshots import SnapshotStore
+from .sources.watcher import FolderWatcher
 from .streaming import changes as C
 
 log = logging.getLogger(__name__)
+#: Entities are numbered within their file: the path comes first.
+ORDER = ("file_path", "seq")
 _RESULT = ("id", "name", "file_path", "entity_type", "signature", "docstring", "class_name", "start_line", "end_line", "score")
 
 
@@ -30,9 +34,10 @@ class Engine:
     def __init__(self, spark: SparkSession, settings: Settings):
         self.spark, self.settings = spark, settings
         self.store = SnapshotStore(spark, settings.storage_path)
-        self.encoder = encoder_for(settings.encoder, dimensions=settings.dimensions)
+        self.encoder = encoder_for(settings.encoder, dimensions=settings.dimensions, **settings.extra.get("encoder", {}))
         self.status = {"phase": "not_started", "error": None, "total_entities": 0, "embeddable_entities": 0}
         self.query = None
+        self.watcher: FolderWatcher | None = None
 
     # -- state ----------------------------------------------------------------------------------
     def _table(self, name: str) -> DataFrame | None:
@@ -57,19 +62,19 @@ class Engine:
         """Parse, build the graph, sync the vectors, save one snapshot."""
         try:
             self.status |= {"phase": "parsing", "error": None}
-            self.store.save({"entities": self.parse()})
-            rows = self._table("entities")
+            folder = self.store.write("entities", self.parse())
+            rows = self.store.read(folder)
             counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("entity_type").isin("function", "class")).alias("e")).first()
             self.status |= {"total_entities": counts.n, "embeddable_entities": counts.e, "phase": "building_graph"}
-            graph = Graph.build(rows)
+            graph = Graph.build(rows, order=ORDER)
             self.status["phase"] = "syncing_embeddings"
-            files = rows.where("entity_type = 'file'").select("file_path")
+            files = rows.where("entity_type = 'file'").select("repo", "file_path")
             if full:
                 vectors, acts = Y.full_reindex(rows, self.vectors(), self.settings.repo_name, self.encoder)
             else:
                 vectors, acts = Y.sync(rows, self.vectors(), self.encoder, files, reconcile)
-            done = Y.summary(acts).first().asDict()
-            self.store.save({"nodes": graph.nodes, "edges": graph.edges, "vectors": vectors.select(*VECTOR.names)})
+            done = self._summary(acts)
+            self.store.save({"entities": folder, "nodes": graph.nodes, "edges": graph.edges, "vectors": vectors.select(*VECTOR.names)})
             self.status["phase"] = "complete"
             return done
         except Exception as error:
@@ -87,51 +92,83 @@ class Engine:
             return {"error": "a full index of one path drops everything else; use force", "path": path}
         if path and not full:
             fresh = self.parse(target).withColumn("file_path", F.concat(F.lit(path.strip("/") + "/"), "file_path")).drop("id", "content_hash")
-            fresh = E.identified(fresh, self.settings.class_hash)
-            done = self._replace(fresh.select("file_path").distinct(), fresh)
+            fresh = self._staged(E.identified(fresh, self.settings.class_hash))
+            done = self._replace(fresh.select("repo", "file_path").distinct(), fresh)
         else:
             done = self.index(full=full)
         stats = self.graph().statistics().first()
         return {"path": path or self.settings.repo_path, "full_reindex": full, "entities_parsed": self._table("entities").count(),
                 "graph": {"nodes": stats.nodes, "edges": stats.edges},
-                "embeddings": {k: done[k] for k in ("added", "updated", "deleted", "skipped")} | {"errors": []}}
+                "embeddings": {k: done[k] for k in ("added", "updated", "deleted", "skipped", "errors")}}
 
-    def _replace(self, paths: DataFrame, fresh: DataFrame) -> dict:
-        """Replace the rows of some files in one snapshot; edges are made anew from all entities."""
-        from .operators.graph import replace_files
+    def _summary(self, acts: DataFrame) -> dict:
+        """The counts of a sync; what could not be encoded is an error and counts nowhere."""
+        acts = materialize(acts, "acts")
+        failed = acts.where("action = 'failed'").count()
+        return Y.summary(acts).first().asDict() | {"errors": [f"{failed} entities could not be embedded"] if failed else []}
+
+    def _staged(self, df: DataFrame) -> DataFrame:
+        return self.store.read(self.store.write("fresh", df))
 
+    def _replace(self, paths: DataFrame, fresh: DataFrame) -> dict:
+        """Replace the rows of some files (``repo, file_path``) in one snapshot; edges are made anew from all entities."""
         old = self._table("entities")
         rows = fresh if old is None else replace_files(old, paths, fresh)
-        vectors = self.vectors()
-        own = vectors.join(paths, "file_path", "left_semi")
-        synced, acts = Y.sync(fresh, own, self.encoder, paths)
-        done = Y.summary(acts).first().asDict()
-        rest = vectors.join(paths, "file_path", "left_anti")
-        graph = Graph.build(rows)
+        vectors, gone = self.vectors(), paths.select(F.col("repo").alias("_r"), F.col("file_path").alias("_p")).distinct()
+        here = F.col("repo").eqNullSafe(F.col("_r")) & F.col("file_path").eqNullSafe(F.col("_p"))
+        synced, acts = Y.sync(fresh, vectors.join(gone, here, "left_semi"), self.encoder, paths)
+        done = self._summary(acts)
+        rest = vectors.join(gone, here, "left_anti")
+        graph = Graph.build(rows, order=ORDER)
         self.store.save({"entities": rows, "nodes": graph.nodes, "edges": graph.edges, "vectors": rest.unionByName(synced, allowMissingColumns=True).select(*VECTOR.names)})
         return done
 
-    def apply_changes(self, batch: DataFrame, number: int = 0) -> None:
-        """Apply ``path, change_type``: files that exist are parsed again, others removed."""
-        files = source_files(self.spark, self.settings.repo_path, self.settings.include_dirs)
-        paths = batch.select(F.col("path").alias("file_path")).distinct()
-        fresh = extract_entities(files.join(paths, "file_path", "left_semi"), self.settings.repo_name)
-        self._replace(paths, E.identified(fresh, self.settings.class_hash))
+    def apply_changes(self, batch: DataFrame, number: int = 0) -> dict:
+        """Apply ``path, change_type``: files that exist are parsed again, others removed. Only the named files are read."""
+        paths = batch.select(F.lit(self.settings.repo_name).alias("repo"), F.col("path").alias("file_path")).where("file_path is not null").distinct()
+        wanted = paths.where(should_process(F.col("file_path"))).select("file_path", F.current_timestamp().alias("modified_at"))
+        fresh = extract_entities(read_files(wanted, self.settings.repo_path), self.settings.repo_name)
+        fresh = self._staged(E.identified(fresh, self.settings.class_hash))
+        done = self._replace(paths, fresh)
+        there = C.corrected(batch, fresh.where("entity_type = 'file'").select(F.col("file_path").alias("path")))
+        log.info("batch %d: %s, %s", number, {r.change_type: r["count"] for r in there.groupBy("change_type").count().collect()}, done)
+        return done
 
-    def watch(self, folder: str, checkpoint: str):
-        """Start applying changes that arrive as JSON files in ``folder``."""
+    def watch(self, folder: str, checkpoint: str, debounce: bool = False):
+        """Start applying changes that arrive as JSON files in ``folder``; see :func:`quern.streaming.changes.start` for ``debounce``."""
         if self.query is not None and self.query.isActive:
             log.warning("already watching")
             return self.query
-        writer = C.start(C.change_stream(self.spark, folder), self.apply_changes, checkpoint)
-        self.query = writer.trigger(processingTime=f"{self.settings.debounce_seconds} seconds").start()
+        pause = f"{self.settings.debounce_seconds} seconds"
+        writer = C.start(C.change_stream(self.spark, folder), self.apply_changes, checkpoint, pause, debounce)
+        self.query = writer.trigger(processingTime="1 second" if debounce or self.watcher else pause).start()
         return self.query
 
+    def watch_repository(self):
+        """Watch the repository's folder itself: a watcher writes its changes, paused globally, and the stream applies them."""
+        inbox = f"{self.settings.storage_path}/inbox"
+        if self.watcher is None:
+            self.watcher = FolderWatcher(self.settings.repo_path, inbox, self.settings.debounce_seconds, include_dirs=self.settings.include_dirs).start()
+        return self.watch(inbox, f"{self.settings.storage_path}/checkpoint")
+
     def stop(self) -> None:
+        if self.watcher is not None:
+            self.watcher.stop()
+            self.watcher = None
         if self.query is not None:
             self.query.stop()
             self.query = None
 
+    def close(self) -> None:
+        """Stop watching. Every change is saved when it is applied, so there is nothing else to write."""
+        self.stop()
+
+    def __enter__(self) -> "Engine":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     # -- questions ------------------------------------------------------------------------------
     def get_function_calls(self, function_id: str) -> dict:
         rows = [r.asDict() for r in Q.function_calls(self.graph(), function_id).collect()]

@@ -16,11 +16,10 @@ PYTHON_EXTERNAL = (
 GO_EXTERNAL = (
     "fmt", "os", "io", "net", "sync", "context", "strings", "strconv", "encoding", "errors", "log", "path", "time", "testing", "flag", "bytes",
     "bufio", "sort", "math", "crypto", "database", "html", "regexp", "runtime", "reflect", "unsafe", "debug")
-RUST_EXTERNAL = ("std", "core", "alloc", "serde", "tokio", "async_std", "futures", "log", "env_logger", "tracing", "anyhow", "thiserror")
 JAVA_EXTERNAL = ("java.", "javax.", "sun.")
 #: Where each language's sources may lie, in order.
 PYTHON_ROOTS, GO_ROOTS = ("", "src/"), ("", "pkg/", "internal/", "cmd/")
-JAVA_ROOTS = ("src/main/java/", "src/", "app/src/main/java/", "")
+JAVA_ROOTS = ("", "src/", "src/main/java/", "app/src/main/java/")
 TS_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 C_ROOTS = ("include/", "src/")
 
@@ -41,10 +40,11 @@ def parent(path: Column) -> Column:
 
 
 def normal(path: Column) -> Column:
-    """``.`` and ``..`` segments resolved; ``..`` beyond the top is kept out."""
+    """``.`` and ``..`` segments resolved; ``..`` beyond the top stays, so that such a path is no file's."""
     parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
-    start = F.expr(_EMPTY)
-    return F.array_join(F.aggregate(parts, start, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))), "/")
+    up = lambda acc: (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != "..")
+    step = lambda acc, x: F.when((x == "..") & up(acc), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    return F.array_join(F.aggregate(parts, F.expr(_EMPTY), step), "/")
 
 
 def join_path(folder: Column, rest: Column) -> Column:
@@ -73,22 +73,22 @@ def script_candidates(imp: Column, context: Column) -> Column:
 
 
 def go_candidates(imp: Column, context: Column) -> Column:
+    imp = F.regexp_replace(imp, """^["']+|["']+$""", "")
     first = F.split(imp, "/")[0]
     tries = _arr(*[F.concat(F.lit(root), imp, F.lit(tail)) for root in GO_ROOTS for tail in (".go", "/main.go")])
     return F.when(F.contains(first, F.lit(".")) | first.isin(*GO_EXTERNAL), _empty()).otherwise(tries)
 
 
 def rust_candidates(imp: Column, context: Column) -> Column:
-    bare = F.regexp_replace(imp, r"::\{.*$|::\*$", "")
-    first = F.split(bare, "::")[0]
-    rest = F.regexp_replace(F.regexp_replace(bare, r"^(self|super|crate)(::)?", ""), "::", "/")
+    """What follows ``self``, ``super`` or ``crate`` below the file's folder, its parent or ``src``; other crates lie outside."""
+    parts = F.split(imp, "::")
+    first = parts[0]
+    rest = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(1))), "/")
     folder = parent(context)
-    here = F.when(first == "super", parent(folder)).otherwise(folder)
-    local = join_path(here, rest)
-    both = lambda p: [F.concat(p, F.lit(".rs")), F.concat(p, F.lit("/mod.rs"))]
-    crate = _arr(*both(F.concat(F.lit("src/"), rest)), *both(rest))
-    return (
-        F.when(first.isin(*RUST_EXTERNAL) | (rest == ""), _empty()).when(first.isin("self", "super"), _arr(*both(local))).when(first == "crate", crate).otherwise(_empty()))
+    base = F.when(first == "super", parent(folder)).when(first == "crate", F.lit("src")).otherwise(folder)
+    local = normal(join_path(base, rest))
+    tries = _arr(F.concat(local, F.lit(".rs")), F.concat(local, F.lit("/mod.rs")))
+    return F.when(first.isin("self", "super", "crate") & (rest != ""), tries).otherwise(_empty())
 
 
 def java_candidates(imp: Column, context: Column) -> Column:
@@ -100,7 +100,7 @@ def java_candidates(imp: Column, context: Column) -> Column:
 
 
 def c_candidates(imp: Column, context: Column) -> Column:
-    name = F.regexp_replace(imp, r'^[<"]+|[>"]+$', "")
+    name = F.regexp_replace(imp, """^[<>"']+|[<>"']+$""", "")
     tries = _arr(normal(join_path(parent(context), name)), normal(name), *[normal(F.concat(F.lit(root), name)) for root in C_ROOTS])
     return F.when(name.endswith(".h"), tries).otherwise(_empty())
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import entities as E
 from . import vectors as V
 from .encode import Encoder
@@ -33,9 +34,9 @@ def actions(given: DataFrame, stored: DataFrame, parsed_files: DataFrame | None
 
 
 def summary(acts: DataFrame) -> DataFrame:
-    """One row: added, updated, deleted, skipped and their sum."""
+    """One row: added, updated, deleted, skipped and their sum; failed ones don't count."""
     names = ("added", "updated", "deleted", "skipped")
-    return acts.agg(*[F.count_if(F.col("action") == n).alias(n) for n in names], F.count(F.lit(1)).alias("total_processed"))
+    return acts.agg(*[F.count_if(F.col("action") == n).alias(n) for n in names], F.count_if(F.col("action").isin(*names)).alias("total_processed"))
 
 
 def vector_rows(entities: DataFrame, encoder: Encoder) -> DataFrame:
@@ -44,12 +45,19 @@ def vector_rows(entities: DataFrame, encoder: Encoder) -> DataFrame:
 
 
 def sync(entities: DataFrame, stored: DataFrame, encoder: Encoder, parsed_files: DataFrame | None = None, reconcile: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The vector table after the sync, and the actions taken; only new and changed entities are encoded."""
+    """The vector table after the sync, and the actions taken; only new and changed entities are encoded.
+
+    An entity whose encoding failed keeps its stored row, and its action is ``failed`` instead of added or updated.
+    """
     rows = E.deduplicated(E.embeddable(entities))
-    acts = actions(rows, stored, parsed_files, reconcile)
+    acts = materialize(actions(rows, stored, parsed_files, reconcile), "actions")
     todo = rows.join(acts.where(F.col("action").isin("added", "updated")), "id", "left_semi")
-    out = V.upserted(V.without_ids(stored, acts.where("action = 'deleted'")), vector_rows(todo, encoder))
-    return out, acts
+    # Written once, as encoding is dear and both results need it.
+    encoded = materialize(vector_rows(todo, encoder), "encoded")
+    failed = encoded.where("embedding is null").select("id", F.lit(True).alias("_failed"))
+    out = V.upserted(V.without_ids(stored, acts.where("action = 'deleted'")), encoded.where("embedding is not null"))
+    done = acts.join(failed, "id", "left").select("id", F.when(F.col("_failed"), "failed").otherwise(F.col("action")).alias("action"))
+    return out, done
 
 
 def sync_file(entities: DataFrame, stored: DataFrame, repo: str, path: str, encoder: Encoder) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +71,6 @@ def sync_file(entities: DataFrame, stored: DataFrame, repo: str, path: str, enco
 
 def full_reindex(entities: DataFrame, stored: DataFrame, repo: str, encoder: Encoder) -> tuple[DataFrame, DataFrame]:
     """All rows of a repository anew: the old ones are deleted, the entities added."""
-    kept = V.without_repo(stored, repo)
-    rows = E.deduplicated(E.embeddable(entities))
     deleted = stored.where(F.col("repo") == repo).select("id", F.lit("deleted").alias("action"))
-    return kept.unionByName(vector_rows(rows, encoder), allowMissingColumns=True), deleted.unionByName(rows.select("id", F.lit("added").alias("action")))
+    out, acts = sync(entities, V.without_repo(stored, repo), encoder)
+    return out, deleted.unionByName(acts)

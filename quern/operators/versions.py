@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import filesystem, materialize
+from ..session import create_once, filesystem, materialize, read_text
 
 _DV = T.StructType([T.StructField("_q_file", T.StringType()), T.StructField("_q_pos", T.LongType())])
 
@@ -53,31 +53,12 @@ class VersionedTable:
     def manifest(self, version: int) -> dict:
         if version < 0:
             return {"version": -1, "files": {}, "schema": None, "processed": {}}
-        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
-        fs, file = filesystem(self.spark, f"{self.path}/manifests/v{version:020d}.json")
-        stream = fs.open(file)
-        try:
-            return json.loads(text.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(read_text(self.spark, f"{self.path}/manifests/v{version:020d}.json"))
 
     def _commit(self, base: int, files: dict, schema: str, processed: dict) -> int:
-        jvm = self.spark.sparkContext._jvm
         body = json.dumps({"version": base + 1, "files": files, "schema": schema, "processed": processed})
-        fs, temp = filesystem(self.spark, f"{self.path}/manifests/.{uuid.uuid4().hex}")
-        _, final = filesystem(self.spark, f"{self.path}/manifests/v{base + 1:020d}.json")
-        out = fs.create(temp, True)
-        out.write(bytearray(body, "utf-8"))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(temp, final, options)
-        except Exception as error:
-            fs.delete(temp, False)
-            if "AlreadyExists" in str(error):
-                raise VersionConflict(f"version {base + 1} of {self.path}") from None
-            raise
+        if not create_once(self.spark, f"{self.path}/manifests/v{base + 1:020d}.json", body):
+            raise VersionConflict(f"version {base + 1} of {self.path}")
         return base + 1
 
     def _write(self, df: DataFrame, kind: str) -> dict[str, str]:

@@ -59,6 +59,36 @@ def filesystem(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
+def create_once(spark: SparkSession, path: str, body: str) -> bool:
+    """Make a file of ``body`` by one rename; False if it exists already. Readers see all of it or nothing."""
+    jvm = spark.sparkContext._jvm
+    folder, _, name = path.rpartition("/")
+    fs, temp = filesystem(spark, f"{folder}/.{uuid.uuid4().hex}")
+    _, final = filesystem(spark, path)
+    out = fs.create(temp, True)
+    out.write(bytearray(body, "utf-8"))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(temp, final, options)
+    except Exception as error:
+        fs.delete(temp, False)
+        if "AlreadyExists" in str(error):
+            return False
+        raise
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, file = filesystem(spark, path)
+    stream = fs.open(file)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, jpath = filesystem(spark, path)
     fs.delete(jpath, True)

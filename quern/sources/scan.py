@@ -15,20 +15,20 @@ from pyspark.sql import functions as F
 from ..operators.imports import SUFFIXES, language_of
 
 #: Folders that hold no sources of the repository itself.
-IGNORED = tuple("""
-.git .svn .hg
-__pycache__ .venv venv .env env ENV .tox .nox .pytest_cache .mypy_cache .pytype .ruff_cache .coverage htmlcov coverage .eggs egg-info wheels sdist .Python lib64
-node_modules .npm .pnpm-store .yarn bower_components .cache .parcel-cache .turbo .next .nuxt .svelte-kit .vitepress .docusaurus .astro .remix storybook-static .vercel .netlify
-android ios .expo .expo-shared Pods .bundle DerivedData xcuserdata
-vendor bin pkg
-target
-.dart_tool .pub-cache .pub .packages .fvm
-.gradle .mvn .settings
-CMakeFiles cmake-build-debug cmake-build-release Debug Release x64 x86 ipch .ccls-cache
-.idea .vscode .vs .eclipse nbproject
-dist build out .output
-logs log tmp temp .tmp .temp .local
-""".split())
+IGNORED = (
+    ".git", ".svn", ".hg",
+    "__pycache__", ".venv", "venv", ".env", "env", "ENV", ".tox", ".nox", ".pytest_cache", ".mypy_cache", ".pytype", ".ruff_cache", ".coverage", "htmlcov", "coverage", ".eggs", "egg-info", "wheels", "sdist", ".Python", "lib64",
+    "node_modules", ".npm", ".pnpm-store", ".yarn", "bower_components", ".cache", ".parcel-cache", ".turbo", ".next", ".nuxt", ".svelte-kit", ".vitepress", ".docusaurus", ".astro", ".remix", "storybook-static", ".vercel", ".netlify",
+    "android", "ios", ".expo", ".expo-shared", "Pods", ".bundle", "DerivedData", "xcuserdata",
+    "vendor", "bin", "pkg",
+    "target",
+    ".dart_tool", ".pub-cache", ".pub", ".packages", ".fvm",
+    ".gradle", ".mvn", ".settings",
+    "CMakeFiles", "cmake-build-debug", "cmake-build-release", "Debug", "Release", "x64", "x86", "ipch", ".ccls-cache",
+    ".idea", ".vscode", ".vs", ".eclipse", "nbproject",
+    "dist", "build", "out", ".output",
+    "logs", "log", "tmp", "temp", ".tmp", ".temp", ".local",
+)
 #: Folders with a leading dot that are kept.
 DOTTED = (".github", ".gitlab")
 
@@ -93,6 +93,11 @@ def source_files(spark: SparkSession, root: str, include_dirs: tuple[str, ...] =
     found = list_sources(root, include_dirs, strict_abs)
     files = spark.createDataFrame(found, _FILES)
     parts = max(1, min(len(found), max(sum(f[1] for f in found) // 64_000_000 + 1, spark.sparkContext.defaultParallelism if len(found) > 200 else 1)))
+    return read_files(files.select("file_path", "modified_at").repartition(parts), root)
+
+
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """``file_path, language, content, modified_at`` of the named files that exist below ``root``; the tasks read them, nothing is listed."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = _filesystem(root)
@@ -102,9 +107,9 @@ def source_files(spark: SparkSession, root: str, include_dirs: tuple[str, ...] =
                 try:
                     with system.open_input_stream(f"{top.rstrip('/')}/{path}") as f:
                         content = f.read()
-                except OSError:  # gone since the listing
+                except OSError:  # not there, or gone since the listing
                     continue
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([content], pa.binary())], names=["file_path", "modified_at", "content"])
 
-    rows = files.select("file_path", "modified_at").repartition(parts).mapInArrow(read, "file_path string, modified_at timestamp, content binary")
+    rows = files.select("file_path", "modified_at").mapInArrow(read, "file_path string, modified_at timestamp, content binary")
     return rows.select("file_path", language_of(F.col("file_path")).alias("language"), "content", "modified_at")

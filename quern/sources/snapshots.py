@@ -1,14 +1,22 @@
-"""Snapshots of a set of tables: version folders and a pointer that names the present one.
+"""Snapshots of a set of tables: folders that never change, and pointers that name those of a version.
 
-A snapshot is written whole before the pointer moves, so readers see the old or the new state and never a part;
-the pointer is a file created under a number of its own, the greatest counts. Old snapshots stay readable.
+A table is written whole into a folder of its own before the pointer of the next version is made by one rename, so readers
+see the old or the new state and never a part. Two writers never share a folder; of two that make the same
+version one fails. Tables not given keep their folder, nothing is copied. Old snapshots stay readable.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import filesystem
+from ..session import create_once, filesystem, read_text
+
+
+class SnapshotConflict(RuntimeError):
+    """Another writer saved the version first."""
 
 
 class SnapshotStore:
@@ -22,23 +30,27 @@ class SnapshotStore:
             return -1
         return max((int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), default=-1)
 
-    def save(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables as the next version; tables not given are carried over."""
+    def _tables(self, version: int) -> dict[str, str]:
+        return json.loads(read_text(self.spark, f"{self.path}/current/{version}")) if version >= 0 else {}
+
+    def write(self, name: str, df: DataFrame) -> str:
+        """Write a table that no version names yet; its folder, relative to the store."""
+        folder = f"data/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        return folder
+
+    def read(self, folder: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{folder}")
+
+    def save(self, tables: dict[str, DataFrame | str]) -> int:
+        """Make the next version of tables and of folders that :meth:`write` gave; others keep what they have."""
         now = self.version()
-        if now >= 0:
-            fs, folder = filesystem(self.spark, f"{self.path}/v={now}")
-            for s in fs.listStatus(folder):
-                name = s.getPath().getName()
-                if name not in tables:
-                    tables = tables | {name: self.spark.read.parquet(f"{self.path}/v={now}/{name}")}
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v={now + 1}/{name}")
-        fs, mark = filesystem(self.spark, f"{self.path}/current/{now + 1}")
-        fs.create(mark, False).close()
+        folders = {name: t if isinstance(t, str) else self.write(name, t) for name, t in tables.items()}
+        if not create_once(self.spark, f"{self.path}/current/{now + 1}", json.dumps(self._tables(now) | folders)):
+            raise SnapshotConflict(f"version {now + 1} of {self.path}")
         return now + 1
 
     def load(self, name: str, version: int | None = None) -> DataFrame | None:
         """A table of the present (or given) version; None if there is none."""
-        v = self.version() if version is None else version
-        fs, folder = filesystem(self.spark, f"{self.path}/v={v}/{name}")
-        return self.spark.read.parquet(f"{self.path}/v={v}/{name}") if v >= 0 and fs.exists(folder) else None
+        folder = self._tables(self.version() if version is None else version).get(name)
+        return self.read(folder) if folder else None

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,18 +42,38 @@ def last_changes(changes: DataFrame, *keys: str) -> DataFrame:
     return changes.groupBy(*keys, "path").agg(F.max_by("change_type", order).alias("change_type"), F.max("event_time").alias("event_time"))
 
 
-def debounced(changes: DataFrame, gap: str = DEBOUNCE, watermark: str | None = "0 seconds") -> DataFrame:
-    """``batch, path, change_type``: sessions of all files' events that no pause of ``gap`` parts, with the last change of each path.
+_PENDING = "paths array<string>, kinds array<string>, times array<long>"
 
-    On a stream the watermark closes a session. The session is global, as the debounce is; its
-    state is one entry a path, merged before the shuffle.
+
+def debounced(changes: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
+    """``path, change_type, event_time``: the last change of each path, given out after a pause of ``gap`` without any.
+
+    On a stream the pause is one global timer by the clock, as an editor's bursts are to go out together. What waits is one
+    entry a path: changes are merged before the state sees them and in it. A finished table is cut into sessions instead.
     """
-    rows = changes.withWatermark("event_time", watermark) if changes.isStreaming and watermark is not None else changes
-    session = rows.groupBy(F.session_window("event_time", gap)).agg(F.collect_set(F.struct("path", "event_time", "change_type")).alias("events")) if changes.isStreaming else None
-    if session is not None:
-        flat = session.select(F.col("session_window").alias("batch"), F.explode("events").alias("e"))
-        return flat.select("batch", "e.path", "e.change_type", "e.event_time")
-    return batch_sessions(rows, gap)
+    if not changes.isStreaming:
+        return batch_sessions(changes, gap).drop("batch")
+    wait = _micros(gap) // 1000
+
+    def merge(key, parts, state):
+        at = dict(zip(state.get[0], zip(state.get[1], state.get[2]))) if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            rows = sorted(at.items())
+            yield pd.DataFrame({"path": [p for p, _ in rows], "change_type": [k for _, (k, _) in rows], "event_time": pd.to_datetime([t for _, (_, t) in rows], unit="us")})
+            return
+        for part in parts:
+            stamps = part["event_time"].astype("datetime64[us]").astype("int64")
+            for path, kind, t in zip(part["path"], part["change_type"], stamps):
+                if path not in at or (t, kind == "delete") >= (at[path][1], at[path][0] == "delete"):
+                    at[path] = (kind, int(t))
+        if at:
+            state.update((list(at), [k for k, _ in at.values()], [t for _, t in at.values()]))
+            state.setTimeoutDuration(max(wait, 1))
+
+    out = changes.select(F.lit(0).alias("k"), "path", "change_type", "event_time").groupBy("k").applyInPandasWithState(
+        merge, "path string, change_type string, event_time timestamp", _PENDING, "append", "ProcessingTimeTimeout")
+    return out
 
 
 def batch_sessions(changes: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
@@ -93,7 +114,7 @@ def corrected(changes: DataFrame, existing: DataFrame) -> DataFrame:
 def start(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, gap: str = DEBOUNCE, debounce: bool = False):
     """Run ``apply`` on every micro-batch with the last change of each path; the checkpoint keeps what is pending.
 
-    With ``debounce`` sessions are formed by event time first; otherwise the trigger's interval is the pause.
+    With ``debounce`` a batch goes out only after a pause of ``gap`` without changes; otherwise the trigger's interval parts batches.
     """
     rows = debounced(accepted(changes), gap) if debounce else accepted(changes)
 

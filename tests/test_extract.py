@@ -130,7 +130,7 @@ int top(int a) { return helper(Point(a)); }
 def test_odd_inputs(language):
     for text in ("", "}{)(", "class", "fn (", "def ", "\0�", "a" * 5000, "((((" * 200, "func f(", "import"):
         extract(text, language)
-    assert file_rows("p/x", language, None, "r", 0)[-1]["entity_type"] == "file"
+    assert file_rows("p/x", language, None, "r")[-1]["entity_type"] == "file"
 
 
 def test_scan_and_extract(spark, tmp_path):
@@ -140,6 +140,6 @@ def test_scan_and_extract(spark, tmp_path):
         p.write_bytes(text if isinstance(text, bytes) else text.encode())
     files = source_files(spark, str(tmp_path))
     assert sorted(r.file_path for r in files.collect()) == [".github/d.py", "src/a.py", "src/b.JS", "src/bad.py"]
-    rows = extract_entities(files, "demo").orderBy("seq").collect()
+    rows = extract_entities(files, "demo").orderBy("file_path", "seq").collect()
     assert [(r.entity_type, r.name) for r in rows] == [("file", "d.py"), ("function", "f"), ("file", "a.py"), ("function", "g"), ("file", "b.JS"), ("file", "bad.py")]
     assert rows[2].defines == ["demo:src/a.py:f"] and rows[2].end_line == 3

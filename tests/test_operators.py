@@ -22,9 +22,9 @@ IMPORTS = [
     ("typescript", "./u", "a/b.ts", ["a/u.ts", "a/u.tsx", "a/u.js", "a/u.jsx", "a/u/index.ts", "a/u/index.tsx", "a/u/index.js", "a/u/index.jsx"]), ("javascript", "react", "a.js", []),
     ("go", "x/y", "m.go", ["x/y.go", "x/y/main.go", "pkg/x/y.go", "pkg/x/y/main.go", "internal/x/y.go", "internal/x/y/main.go", "cmd/x/y.go", "cmd/x/y/main.go"]), ("go", "fmt", "m.go", []), ("go", "github.com/a/b", "m.go", []),
     ("rust", "std::io", "a.rs", []), ("rust", "self::x", "s/a.rs", ["s/x.rs", "s/x/mod.rs"]), ("rust", "super::x", "s/t/a.rs", ["s/x.rs", "s/x/mod.rs"]),
-    ("rust", "crate::a::b", "s/m.rs", ["src/a/b.rs", "src/a/b/mod.rs", "a/b.rs", "a/b/mod.rs"]), ("rust", "rand::Rng", "a.rs", []),
-    ("java", "java.util.List", "A.java", []), ("java", "p.Q", "A.java", ["src/main/java/p/Q.java", "src/p/Q.java", "app/src/main/java/p/Q.java", "p/Q.java"]),
-    ("c", "<stdio.h>", "s/a.c", ["s/stdio.h", "stdio.h", "include/stdio.h", "src/stdio.h"]), ("cpp", '"x.hpp"', "a.cpp", []), ("cpp", "../u.h", "s/t/a.cpp", ["s/u.h", "u.h", "u.h", "u.h"]), ("dart", "package:a/b.dart", "a.dart", []), (None, "x", "y", [])]
+    ("rust", "crate::a::b", "s/m.rs", ["src/a/b.rs", "src/a/b/mod.rs"]), ("rust", "crate", "s/m.rs", []), ("rust", "super", "s/m.rs", []), ("typescript", "../x", "a.ts", ["../x.ts", "../x.tsx", "../x.js", "../x.jsx", "../x/index.ts", "../x/index.tsx", "../x/index.js", "../x/index.jsx"]), ("rust", "rand::Rng", "a.rs", []),
+    ("java", "java.util.List", "A.java", []), ("java", "p.Q", "A.java", ["p/Q.java", "src/p/Q.java", "src/main/java/p/Q.java", "app/src/main/java/p/Q.java"]),
+    ("c", "<stdio.h>", "s/a.c", ["s/stdio.h", "stdio.h", "include/stdio.h", "src/stdio.h"]), ("cpp", '"x.hpp"', "a.cpp", []), ("cpp", "../u.h", "s/t/a.cpp", ["s/u.h", "../u.h", "u.h", "u.h"]), ("dart", "package:a/b.dart", "a.dart", []), (None, "x", "y", [])]
 
 
 def test_import_candidates(spark):
@@ -140,3 +140,135 @@ def test_engine_end_to_end(spark, tmp_path):
     assert {r.id for r in e.graph().nodes.collect()} == {"repo:__init__.py", "repo:util.py", "repo:util.py:helper", "repo:util.py:other"}
     assert {r.id for r in e.vectors().collect()} == {"repo:util.py:helper", "repo:util.py:other"}
     assert e.reindex(full=True)["embeddings"]["added"] == 2
+
+
+def test_updates_equal_a_full_build(spark, tmp_path):
+    import random
+
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    r = random.Random(3)
+    names = ["a.py", "b.py", "m.py", "z.py"]
+
+    def edit(name):
+        defs = "".join(f"def {f}():\n    {r.choice('fghk')}()\n" for f in r.sample("fghk", r.randrange(0, 4)))
+        (repo / name).write_text(f"import {r.choice('abmz')}\nclass K{r.randrange(2)}(Base):\n    def go(self):\n        f()\n" + defs)
+
+    for n in names:
+        edit(n)
+    e = Engine(spark, Settings(str(repo), storage_path=str(tmp_path / "s"), dimensions=8))
+    e.index()
+    other = Engine(spark, Settings(str(repo), storage_path=str(tmp_path / "t"), dimensions=8))
+    for changed in (["z.py"], ["a.py", "m.py"]):
+        for n in changed:
+            edit(n)
+        if "a.py" in changed:
+            (repo / "b.py").unlink()
+            changed = [*changed, "b.py"]
+        before = e.store.version()
+        e.apply_changes(spark.createDataFrame([(n, "upsert") for n in changed], "path string, change_type string"))
+        assert e.store.version() == before + 1
+        other.index(reconcile=True)
+        for table, columns in (("nodes", ["id", "type", "file_path", "start_line"]), ("edges", ["src", "dst", "type"]), ("vectors", ["id", "content_hash"])):
+            assert set(e._table(table).select(*columns).collect()) == set(other._table(table).select(*columns).collect()), table
+
+
+def test_a_repository_keeps_out_of_another(spark):
+    given = spark.createDataFrame([("B:src/a.py:f", "x")], "id string, content_hash string")
+    stored = spark.createDataFrame([("A:src/a.py:g", "x"), ("B:src/a.py:h", "x")], "id string, content_hash string")
+    assert {r.id: r.action for r in Y.actions(given, stored).collect()} == {"B:src/a.py:f": "added", "B:src/a.py:h": "deleted"}
+
+
+class Failing(HashEncoder):
+    def encode(self, text, is_query=False):
+        from quern.operators.encode import in_batches
+
+        def run(texts):
+            if any("boom" in t for t in texts):
+                raise RuntimeError("boom")
+            return [[1.0, 0.0] for _ in texts]
+
+        return in_batches(text, run, 1)
+
+
+def test_what_cannot_be_encoded_is_an_error(spark):
+    rows = [("function", "r", "a.py", n, c) for n, c in (("f", "fine"), ("g", "boom"), ("h", "boom"))]
+    df = E.identified(E.complete(spark.createDataFrame(rows, "entity_type string, repo string, file_path string, name string, code string"))).withColumn("seq", F.monotonically_increasing_id())
+    stored = spark.createDataFrame([("r:a.py:h", [0.5, 0.5], "old", "r", "a.py")], "id string, embedding array<float>, content_hash string, repo string, file_path string")
+    out, acts = Y.sync(df, stored, Failing(2))
+    assert {r.id: r.action for r in acts.collect()} == {"r:a.py:f": "added", "r:a.py:g": "failed", "r:a.py:h": "failed"} and Y.summary(acts).first().total_processed == 1
+    assert {r.id: r.content_hash for r in out.collect()}["r:a.py:h"] == "old" and out.count() == 2
+
+
+def test_encoders_of_models_and_servers(spark):
+    import http.server
+    import threading
+
+    from quern.operators.encode import HttpEncoder, ModelEncoder
+
+    df = spark.createDataFrame([("abc",), ("de",)], "t string")
+    model = ModelEncoder(lambda: lambda texts: [[float(len(t)), 1.0, 2.0] for t in texts], 2, "lengths")
+    assert [list(r.v) for r in df.select(model.encode(F.col("t")).alias("v")).collect()] == [[20.0, 1.0], [19.0, 1.0]] and df.select(model.encode(F.col("t"), True).alias("v")).first().v[0] == 17
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"embedding": [float(len(asked["prompt"])), 7.0 if asked["model"] == "m" else 0.0]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        encoder = encoder_for("http", url=f"http://127.0.0.1:{server.server_port}", model="m")
+        assert isinstance(encoder, HttpEncoder) and sorted(list(r.v) for r in df.select(encoder.encode(F.col("t")).alias("v")).collect()) == [[2.0, 7.0], [3.0, 7.0]]
+    finally:
+        server.shutdown()
+    lost = encoder_for("http", url="http://127.0.0.1:9", model="m", timeout=1.0)
+    assert [r.v for r in df.select(lost.encode(F.col("t")).alias("v")).collect()] == [None, None]
+
+
+def test_watcher_pauses_and_corrects(tmp_path):
+    from quern.sources.watcher import FolderWatcher
+
+    root, out = tmp_path / "r", tmp_path / "o"
+    root.mkdir()
+    out.mkdir()
+    (root / "a.py").write_text("1")
+    w = FolderWatcher(str(root), str(out), pause=5)
+    w.known = w._listing()
+    (root / "b.py").write_text("2")
+    (root / "c.txt").write_text("2")
+    w.poll(0)
+    (root / "a.py").unlink()
+    w.poll(3)
+    w.poll(7)
+    assert not list(out.glob("*.json"))  # the second change started the pause anew
+    w.poll(8.5)
+    rows = [json.loads(x) for f in out.glob("*.json") for x in f.read_text().splitlines()]
+    assert [(r["path"], r["change_type"]) for r in rows] == [("a.py", "delete"), ("b.py", "upsert")] and not w.pending
+    with FolderWatcher(str(root), str(out), pause=60, interval=0.05) as live:
+        assert live.is_running() and live.start() is live
+    assert not live.is_running()
+
+
+def test_stream_goes_out_after_a_pause(spark, tmp_path):
+    import time
+
+    inbox, got = tmp_path / "in", []
+    inbox.mkdir()
+    put = lambda n, rows: (inbox / f"{n}.json").write_text("\n".join(json.dumps({"path": p, "change_type": c, "event_time": t}) for p, c, t in rows))
+    put(1, [("a.py", "upsert", "2024-01-01T00:00:01"), ("b.py", "delete", "2024-01-01T00:00:01"), ("n.txt", "upsert", "2024-01-01T00:00:01")])
+    query = C.start(C.change_stream(spark, str(inbox)), lambda batch, n: got.append({(r.path, r.change_type) for r in batch.collect()}), str(tmp_path / "c"), "3 seconds", True).trigger(processingTime="1 second").start()
+    try:
+        time.sleep(1)
+        put(2, [("a.py", "delete", "2024-01-01T00:00:02")])
+        end = time.time() + 90
+        while not got and time.time() < end:
+            time.sleep(0.3)
+    finally:
+        query.stop()
+    assert set().union(*got) >= {("b.py", "delete"), ("a.py", "delete")} and all("n.txt" != p for part in got for p, _ in part)
