@@ -57,8 +57,11 @@ class Source:
             else:
                 self.tokens.append((kind, s, m.start(), m.end()))
         self.partner: dict[int, int] = {}
+        #: The innermost bracket that is open at a token; -1 outside of all.
+        self.outer: list[int] = []
         stack: list[int] = []
         for i, (kind, s, _, _) in enumerate(self.tokens):
+            self.outer.append(stack[-1] if stack else -1)
             if kind == "op" and s in _OPEN:
                 stack.append(i)
             elif kind == "op" and s in _CLOSE:
@@ -102,10 +105,10 @@ class Source:
 
     def doc_before(self, start: int) -> str | None:
         """The comment that ends right before a place, as the language's documentation."""
-        before = [c for c in self.comments if c[1] <= start]
-        if not before:
+        at = bisect_right(self.comments, (start, start)) - 1
+        if at < 0:
             return None
-        a, b = before[-1]
+        a, b = self.comments[at]
         if self.text[b:start].strip():
             return None
         body = self.text[a:b]
@@ -149,18 +152,12 @@ def calls_of(src: Source, i: int, j: int) -> tuple[list[str], list[dict]]:
         before, name = src.word(k - 1), src.word(k)
         line = src.line(src.tokens[k][2])
         flags = {"is_nested": False, "is_chained": src.word(src.close(after) + 1) in (".", "?.", "->"), "line": line}
-        depth = k - 1
-        while depth > i:
-            w = src.word(depth)
-            if w in (")", "]", "}"):
-                depth = src.partner.get(depth, depth) - 1
-                continue
-            if w == "(" and src.is_name(depth - 1) and src.word(depth - 1) not in _CONTROL:
+        around = src.outer[k]
+        while around > i and src.word(around) != "{":
+            if src.word(around) == "(" and src.is_name(around - 1) and src.word(around - 1) not in _CONTROL:
                 flags["is_nested"] = True
                 break
-            if w in ("{", ";"):
-                break
-            depth -= 1
+            around = src.outer[around]
         if before in (".", "?.", "->", "..") or before == "::" and lang == "cpp":
             r = k - 2
             receiver = None
@@ -214,9 +211,10 @@ def _imports(src: Source) -> list[str]:
                 j = i + 1
                 if src.word(j) == "(":
                     j += 1
-                names = []
+                names, braced = [], False
                 while j < len(toks) and toks[j][0] != "string" and src.word(j) not in (";", "=", "class", "function", "const", "interface", "type") and src.line(toks[j][2]) <= src.line(start) + 40:
-                    if toks[j][0] == "name" and src.word(j) not in ("from", "as", "default", "type"):
+                    braced = braced and src.word(j) != "}" or src.word(j) == "{"
+                    if braced and toks[j][0] == "name" and src.word(j) not in ("as", "default", "type") and src.word(j - 1) != "as":
                         names.append(src.word(j))
                     j += 1
                 if j < len(toks) and toks[j][0] == "string" and (src.word(j - 1) in ("from", "import", "(")):
@@ -255,6 +253,8 @@ def brace_entities(text: str, language: str) -> tuple[list[dict], list[dict], li
     src = Source(text, language)
     functions, classes, types = [], [], []
     scopes: list[tuple[str, int, int]] = []  # name, body start, body end
+    bodies: list[tuple[dict, int, int]] = []  # class, body start, body end
+    places: list[int] = []  # where each function is named
     n = len(src.tokens)
 
     def inside(i: int) -> str | None:
@@ -265,14 +265,25 @@ def brace_entities(text: str, language: str) -> tuple[list[dict], list[dict], li
         return {src.word(k) for k in range(_head(src, i), i)}
 
     def span(first: int, last: int) -> dict:
+        head = src.tokens[first]
+        while language in ("typescript", "javascript") and src.word(first) in ("export", "default", "declare") and first < last:
+            first += 1  # the statement around a declaration is no part of it
         a, b = src.tokens[first], src.tokens[min(last, n - 1)]
-        return {"start_line": src.line(a[2]), "end_line": src.line(b[3] - 1), "code": text[a[2]: b[3]], "docstring": src.doc_before(a[2])}
+        return {"start_line": src.line(a[2]), "end_line": src.line(b[3] - 1), "code": text[a[2]: b[3]], "docstring": src.doc_before(head[2]), "_end": b[3]}
+
+    def annotated(first: int) -> bool:
+        k = first - 1
+        if src.word(k) == ")":
+            k = src.partner.get(k, 0) - 1
+        while src.is_name(k) and src.word(k - 1) == ".":
+            k -= 2
+        return src.is_name(k) and src.word(k).startswith("@")
 
-    def access(words: set[str], name: str) -> str | None:
+    def access(words: set[str], name: str, first: int) -> str | None:
         if language in ("typescript", "javascript", "java"):
             if name.startswith("#"):
                 return "private"
-            return next((w for w in ("public", "private", "protected") if w in words), "package" if language == "java" and words & _MODIFIERS else None)
+            return next((w for w in ("public", "private", "protected") if w in words), "package" if language == "java" and (words & _MODIFIERS or annotated(first)) else None)
         if language == "rust":
             return "public" if "pub" in words else "private"
         return None
@@ -315,9 +326,10 @@ def brace_entities(text: str, language: str) -> tuple[list[dict], list[dict], li
             "typescript": name == "constructor", "javascript": name == "constructor", "java": name == cls, "c": name == cls, "cpp": name == cls,
             "go": owner is None and re.match(r"New([A-Z]|$)", name) is not None, "rust": name == "new" or name.startswith("new_"), "dart": more.pop("made", False)}[language]
         more.pop("made", None)
+        places.append(at)
         functions.append({
             "name": name, **span(first, end), "signature": name + src.slice(params, stop), "class_name": owner, "decorators": decorators(first) if language in ("typescript", "javascript") else [],
-            "calls": calls, "call_details": details, "is_async": "async" in words or more.pop("is_async", False), "is_constructor": bool(made), "access_modifier": access(words, name),
+            "calls": calls, "call_details": details, "is_async": "async" in words or more.pop("is_async", False), "is_constructor": bool(made), "access_modifier": access(words, name, first),
             "is_static": "static" in words and language in ("typescript", "javascript", "java"), "is_abstract": "abstract" in words,
             "type_parameters": _type_parameters(src, type_start, src.generics_end(type_start)) if type_start is not None and language in ("typescript", "javascript", "java", "rust") else [],
             "return_type": more.pop("return_type", None)})
@@ -381,16 +393,15 @@ def brace_entities(text: str, language: str) -> tuple[list[dict], list[dict], li
                 bases = [re.sub(r"^(?:public|private|protected|virtual)+", "", b) for b in listed(":", ())]
             else:
                 bases = []
-            inner = range(body, end)
-            methods = [src.word(k) for k in inner if src.is_name(k) and src.word(k + 1) == "(" and src.word(src.close(k + 1) + 1) in ("{", ":", "->", "throws", "const", "async", "=>", "override") and src.word(k) not in _CONTROL and src.word(k - 1) not in (".", "new", "?.", ",", "(", "=")]
             type_start = j + 1 if src.word(j + 1) == "<" else None
             classes.append({
-                "name": name, **span(first, end), "bases": bases, "decorators": decorators(first) if language in ("typescript", "javascript") else [], "methods": methods,
-                "access_modifier": access(words, name), "is_abstract": "abstract" in words, "is_interface": w == "interface",
+                "name": name, **span(first, end), "bases": bases, "decorators": decorators(first) if language in ("typescript", "javascript") else [], "methods": [],
+                "access_modifier": access(words, name, first), "is_abstract": "abstract" in words, "is_interface": w == "interface",
                 "implements": listed("implements", ("{",)) if language == "java" else [],
                 "type_parameters": _type_parameters(src, type_start, src.generics_end(type_start)) if type_start and language in ("typescript", "javascript", "java", "rust") else []})
             if has_body:
                 scopes.append((name, body, end))
+                bodies.append((classes[-1], body, end))
             i = body + 1
             continue
         # -- types ----------------------------------------------------------------------------
@@ -501,6 +512,7 @@ def brace_entities(text: str, language: str) -> tuple[list[dict], list[dict], li
                         add_function(i + 1, src.word(i + 1), params, body, end, is_async=is_async, return_type=returns, first=i)
                     else:
                         calls, details = calls_of(src, body, end)
+                        places.append(i + 1)
                         functions.append({"name": src.word(i + 1), **span(i, end), "signature": f"{src.word(i + 1)}({src.word(params)})", "class_name": inside(i), "decorators": [], "calls": calls,
                                           "call_details": details, "is_async": is_async, "is_constructor": False, "access_modifier": None, "is_static": False, "is_abstract": False, "type_parameters": [], "return_type": None})
                     i = body + 1
@@ -559,6 +571,7 @@ def brace_entities(text: str, language: str) -> tuple[list[dict], list[dict], li
                 p = params if not getter else i
                 if getter:
                     calls, details = calls_of(src, body, end)
+                    places.append(i)
                     functions.append({"name": name, **span(first, end), "signature": f"{name}()", "class_name": owner, "decorators": [], "calls": calls, "call_details": details, "is_async": "async" in between,
                                       "is_constructor": False, "access_modifier": None, "is_static": False, "is_abstract": False, "type_parameters": [], "return_type": None})
                 else:
@@ -566,9 +579,30 @@ def brace_entities(text: str, language: str) -> tuple[list[dict], list[dict], li
                 i = body + 1 if body_mark == "{" else end + 1
                 continue
         i += 1
+    _name_methods(src, functions, places, bodies)
     return functions, classes, types, _imports(src)
 
 
+def _name_methods(src: Source, functions: list[dict], places: list[int], bodies: list[tuple[dict, int, int]]) -> None:
+    """Give every class the names of the functions in its body, in the order of the text; for Java those without a body too, constructors not."""
+    named = list(zip(places, (f["name"] for f in functions), (f["is_constructor"] for f in functions), strict=True))
+    if src.language == "java":
+        named = [x for x in named if not x[2]]
+        for k in range(len(src.tokens)):
+            if src.word(k) == "(" and src.is_name(k - 1) and src.word(src.close(k) + 1) == ";" and src.word(src.outer[k]) == "{" and (src.is_name(k - 2) or src.word(k - 2) in (">", "]")) and src.word(k - 2) not in _CONTROL:
+                named.append((k - 1, src.word(k - 1), False))
+        named.sort()
+    if src.language in ("typescript", "javascript"):
+        level = {i: src.outer[i] for i, _, _ in named if i < len(src.outer)}
+        named = [x for x in named if src.word(x[0] - 1) != "function"]
+    else:
+        level = None
+    at = [x[0] for x in named]
+    for item, start, end in bodies:
+        inside = named[bisect_right(at, start): bisect_right(at, end)]
+        item["methods"] = [name for i, name, _ in inside if level is None or level.get(i) == start]
+
+
 def _depth(src: Source, i: int) -> int:
     """How many braces are open at a token; kept for all tokens after the first call."""
     table = src.__dict__.get("_depths")
@@ -585,5 +619,5 @@ def _depth(src: Source, i: int) -> int:
 
 
 def _in_function(src: Source, i: int, functions: list[dict]) -> bool:
-    line = src.line(src.tokens[i][2])
-    return bool(functions) and functions[-1]["start_line"] <= line <= functions[-1]["end_line"] and _depth(src, i) > 0 and src.tokens[i][2] < src.text.find(functions[-1]["code"]) + len(functions[-1]["code"])
+    """Whether a token lies in the last function found."""
+    return bool(functions) and _depth(src, i) > 0 and src.tokens[i][2] < functions[-1]["_end"]

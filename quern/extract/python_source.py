@@ -30,11 +30,11 @@ def _root_name(node: ast.AST) -> str | None:
             return None
 
 
-def access_of(name: str) -> str:
-    """Two leading underscores mean private, one (and a dunder) protected."""
+def access_of(name: str) -> str | None:
+    """Two leading underscores mean private, one (and a dunder) protected; other names have none."""
     if name.startswith("__") and not name.endswith("__"):
         return "private"
-    return "protected" if name.startswith("_") else "public"
+    return "protected" if name.startswith("_") else None
 
 
 def _calls(node: ast.AST) -> tuple[list[str], list[dict]]:
@@ -65,6 +65,12 @@ def _spine(node: ast.AST):
         node = node.func if isinstance(node, ast.Call) else getattr(node, "value", None)
 
 
+def _function_names(node: ast.AST) -> list[str]:
+    """All functions below a node, in the order of the text."""
+    found = [n for n in ast.walk(node) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    return [n.name for n in sorted(found, key=lambda n: (n.lineno, n.col_offset))]
+
+
 def _docstring(source: str, body: list[ast.stmt]) -> str | None:
     for statement in body:
         if isinstance(statement, ast.Expr) and isinstance(statement.value, ast.Constant) and isinstance(statement.value.value, str):
@@ -107,7 +113,7 @@ def python_entities(source: str, compat: bool = False) -> tuple[list[dict], list
                 bases = [b for b in (_dotted(b) if isinstance(b, (ast.Name, ast.Attribute)) else None for b in child.bases) if b]
                 classes.append({
                     "name": child.name, "start_line": child.lineno, "end_line": child.end_lineno, "code": _text(source, child) or "", "docstring": _docstring(source, child.body),
-                    "bases": bases, "decorators": decorators, "methods": [n.name for n in ast.walk(child) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))],
+                    "bases": bases, "decorators": decorators, "methods": _function_names(child),
                     "access_modifier": access_of(child.name), "is_abstract": bool({"ABC", "abc.ABC"} & {*bases}), "is_interface": False})
                 inner = (*path, child.name)
             elif isinstance(child, ast.Import):

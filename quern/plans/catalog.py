@@ -1,15 +1,15 @@
-"""All queries of the core."""
+"""All queries of the core, by name, and the SQL of those that a second engine can check."""
 
 from __future__ import annotations
 
-from . import data_queries, reference_queries
+from . import data_queries, reference_queries, snippets
 
-_MODULES = [reference_queries, data_queries]
+_PARTS = (reference_queries, snippets, data_queries)
 
 
 def queries() -> dict:
-    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
