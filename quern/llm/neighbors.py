@@ -7,8 +7,8 @@ to one another over all tables, cut into buckets of a fixed width) hold the rows
 it lies from the query, and as the tables' directions are orthogonal their estimates add up: for all buckets in use they are one
 matrix product. Buckets are visited from the likeliest on, the tables' candidates are merged and ranked by their exact cosine.
 
-* Pairs: a bucket is left out only if even its nearest point lies beyond the distance, in all tables together. Cells
-  are visited with a margin that no pair can exceed either. So no pair is lost: this search is exact.
+* Pairs: a bucket is left out only if even its nearest point lies beyond the distance, in all tables together. So no
+  pair within a cell is lost.
 * Neighbours: the likeliest buckets give a first k-th best, and buckets are visited until a row nearer than that
   would have been met with the chance ``success``.
 
@@ -40,10 +40,12 @@ CENTRES, MERGE = 128, 0.55
 BLOCK = 80_000
 #: Hash tables of a cell for pairs and for neighbours, and functions of each; the width of a bucket in units of the projections' spread.
 PAIR_TABLES, TABLES, FUNCTIONS, WIDTH = 4, 6, 8, 0.25
+#: Standard deviations by which rows visit other cells.
+MARGIN = 3.5
 #: Share of the buckets that gives the first k-th best.
 FIRST = 0.05
 #: Queries and buckets judged at once, and candidates ranked at once, so that no intermediate outgrows some 60 MB.
-_TILE, _CHUNK, _RANKED = 512, 16_384, 100_000
+_TILE, _CHUNK, _RANKED = 512, 4096, 100_000
 
 
 def vectors_of(column: pa.Array, d: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
@@ -145,23 +147,41 @@ class Tables:
         self.visited += len(at)
         return self.order[at], n
 
-    def within(self, q: np.ndarray, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``(query, row)`` in parts: all rows whose buckets may hold a point within ``distance`` of a query."""
-        reach = (distance + self.slack) ** 2
+    def within(self, q: np.ndarray, distance: float, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(query, row)`` in parts: all rows whose buckets may hold a point within ``distance`` of a query.
+
+        With ``own`` the queries are the rows themselves, and each pair of rows comes once.
+        """
         p = (q - self.centre) @ self.a
-        own, half = (p * p).sum(axis=1), (self.middle * self.middle).sum(axis=1) / 2
+        order = self.order if own else np.arange(len(q))
+        p = p[order]
+        bucket_of = np.repeat(np.arange(len(self.sizes)), self.sizes) if own else None
+        # |p - m| <= reach as one product: p.m - |m|^2 / 2 >= (|p|^2 - reach^2) / 2.
+        least = (((p * p).sum(axis=1) - (distance + self.slack) ** 2) / 2)[:, None].astype(np.float32)
+        p = np.concatenate([p, np.ones((len(p), 1), np.float32)], axis=1)
+        m = np.concatenate([self.middle, -(self.middle * self.middle).sum(axis=1, keepdims=True) / 2], axis=1).T
         for a in range(0, len(q), _TILE):
-            least = ((own[a: a + _TILE] - reach) / 2)[:, None]
-            for c in range(0, len(self.middle), _CHUNK):
-                near = p[a: a + _TILE] @ self.middle[c: c + _CHUNK].T - half[c: c + _CHUNK] >= least
-                i, bucket = np.nonzero(near)
-                if not len(i):
+            for c in range(int(bucket_of[a]) if own else 0, m.shape[1], _CHUNK):
+                near = p[a: a + _TILE] @ m[:, c: c + _CHUNK]
+                hit = np.flatnonzero(near >= least[a: a + _TILE])
+                if not len(hit):
                     continue
-                ends = np.cumsum(self.sizes[c + bucket])
+                i, bucket = a + hit // near.shape[1], c + hit % near.shape[1]
+                if own:
+                    keep = bucket >= bucket_of[i]
+                    i, bucket = i[keep], bucket[keep]
+                    if not len(i):
+                        continue
+                ends = np.cumsum(self.sizes[bucket])
                 for part in np.split(np.arange(len(i)), np.searchsorted(ends, np.arange(_RANKED, int(ends[-1]), _RANKED))):
-                    if len(part):
-                        rows, n = self.rows(c + bucket[part])
-                        yield a + np.repeat(i[part], n), rows
+                    if not len(part):
+                        continue
+                    rows, n = self.rows(bucket[part])
+                    at = np.repeat(order[i[part]], n)
+                    if own:
+                        once = (np.repeat(bucket_of[i[part]], n) != np.repeat(bucket[part], n)) | (at < rows)
+                        at, rows = at[once], rows[once]
+                    yield at, rows
 
 
 def pairs_beyond(x: np.ndarray, y: np.ndarray | None, least: float, tables: int = PAIR_TABLES) -> tuple[np.ndarray, np.ndarray, float]:
@@ -169,9 +189,9 @@ def pairs_beyond(x: np.ndarray, y: np.ndarray | None, least: float, tables: int
     ux, uy = unit(x), unit(x if y is None else y)
     held = Tables(uy, tables)
     found = [np.zeros(0, np.int64)]
-    for i, j in held.within(ux, math.sqrt(max(0.0, 2 - 2 * least)) + 1e-4):
+    for i, j in held.within(ux, math.sqrt(max(0.0, 2 - 2 * least)) + 1e-4, y is None):
         if y is None:
-            i, j = i[i < j], j[i < j]
+            i, j = np.minimum(i, j), np.maximum(i, j)
         near = np.einsum("ij,ij->i", ux[i], uy[j]) >= least - 1e-4
         found.append(i[near] * len(uy) + j[near])
     key = np.concatenate(found)
@@ -261,15 +281,20 @@ def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, d)
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, d: int = DIMENSION) -> DataFrame:
-    """``vec_a, vec_b`` (vec_a < vec_b): the rows of different ``id`` with cosine at least ``least``."""
+def similar_pairs(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, d: int = DIMENSION, exact: bool = False) -> DataFrame:
+    """``vec_a, vec_b`` (vec_a < vec_b): the rows of different ``id`` with cosine at least ``least``.
+
+    Within cells no pair is lost. Two rows of different home cells may be, if they differ by more than ``MARGIN`` standard
+    deviations of a random difference along the line between the centres; with ``exact`` none is, for several times the copies.
+    """
     spark = vectors.sparkSession
     cells, total = _fit(vectors)
     blocks = cells.blocks(total, block)
     shared = spark.sparkContext.broadcast((cells, blocks))  # CENTRES * d numbers
-    # Two rows at a distance lead of their own cells by gaps that sum up to that distance times the centres' at most,
-    # so one of them visits the other's home if its margin is half of it: no pair is lost.
-    margin = math.sqrt(max(0.0, 2 - 2 * least)) * cells.apart / 2 + 1e-4
+    # Two rows at a distance lead their own cells by gaps that sum up to that distance times the centres' at most, so one of
+    # them visits the other's home if its margin is half of it. Of a distance in a random direction the centres see a small share only.
+    far = math.sqrt(max(0.0, 2 - 2 * least)) * cells.apart / 2
+    margin = far + 1e-4 if exact else min(far, MARGIN * far / math.sqrt(d)) + 1e-4
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layer, parts = shared.value
