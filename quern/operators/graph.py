@@ -50,6 +50,16 @@ def symbols(entities: DataFrame) -> DataFrame:
     return rows.groupBy("repo", "scope", F.col("path").alias("file_path"), F.col("symbol").alias("name")).agg(F.max_by("id", "seq").alias("id"))
 
 
+def symbols_in_file(entities: DataFrame, path: str) -> DataFrame:
+    """``repo, scope, file_path, name, id``: what the entities of one path register."""
+    return symbols(entities.where(F.col("file_path") == path))
+
+
+def unregistered(entities: DataFrame, path: str) -> DataFrame:
+    """The entities without those of a path; the symbol table of the rest is made from the result."""
+    return entities.where(~F.coalesce(F.col("file_path") == path, F.lit(False)))
+
+
 class Names:
     """Two lookup tables with one row a key: names of a repository, and names of a file."""
 
@@ -119,20 +129,21 @@ class Graph:
         self.nodes, self.edges = nodes, edges
 
     @classmethod
-    def build(cls, entities: DataFrame, keep: bool = True, order: tuple[str, ...] = ("seq",), unique: bool = False) -> "Graph":
+    def build(cls, entities: DataFrame, keep: bool = True, order: tuple[str, ...] = ("seq",), unique: bool = False, written: bool = False) -> "Graph":
         """The graph of an entity table; written to the shared folder, so that questions don't build it again, unless ``keep`` is false.
 
         ``order`` names the columns that say which registration is the last: an engine's entities are numbered within their
-        file and ordered by path first, so that re-parsing a file keeps its place. ``unique`` promises one row an id.
+        file and ordered by path first, so that re-parsing a file keeps its place. ``unique`` promises one row an id, ``written`` that the
+        entities are a written table already.
         """
         rows = entities if "id" in entities.columns else identified(entities)
         if len(order) > 1:
             rows = rows.withColumn("seq", F.struct(*order))
-        written = materialize if keep else lambda df, label: df
-        rows = written(rows.select("id", "repo", "file_path", "entity_type", "name", "seq", "start_line", "end_line", "language", "class_name", "calls", "bases", "imports", "defines"), "entities")
+        keeping = materialize if keep else lambda df, label: df
+        rows = (keeping if not written else lambda df, label: df)(rows.select("id", "repo", "file_path", "entity_type", "name", "seq", "start_line", "end_line", "language", "class_name", "calls", "bases", "imports", "defines"), "entities")
         nodes = real_nodes(rows, unique)
-        edges = written(build_edges(rows, nodes), "edges")
-        return cls(written(nodes.unionByName(external_nodes(edges)), "nodes"), edges)
+        edges = keeping(build_edges(rows, nodes), "edges")
+        return cls(keeping(nodes.unionByName(external_nodes(edges)), "nodes"), edges)
 
     def add_entities(self, nodes: DataFrame) -> "Graph":
         """Upsert nodes."""

@@ -131,12 +131,22 @@ def file_structure(g: Graph, path: str) -> dict:
 
 
 def all_file_structures(g: Graph) -> DataFrame:
-    """``file_path, classes, functions, imports``: how many of each every file has, with the names in order."""
-    names = lambda t: F.array_sort(F.collect_set(F.when(F.col("type") == t, F.col("name"))))
-    inside = g.nodes.where("file_path is not null").groupBy("repo", "file_path").agg(names("class").alias("classes"), names("function").alias("functions"))
+    """``of, classes, functions, imports`` of every file, each in the order of the text.
+
+    ``classes`` have their ids, names, lines and methods (by containment), ``functions`` are those of no class, as in :func:`file_structure`.
+    """
+    methods = g.edges.where("type = 'contains'").join(g.nodes.select(F.col("id").alias("dst"), F.col("name").alias("_m"), F.col("seq").alias("_s")), "dst")
+    methods = methods.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_m"))), lambda x: x["_m"]).alias("_methods"))
+    own = g.nodes.where("type in ('class', 'function') and file_path is not null").join(methods, F.col("id") == F.col("src"), "left")
+    inner = F.contains(F.element_at(F.split("id", ":"), -1), F.lit("."))
+    entry = F.struct("seq", "id", "name", "start_line", "end_line", F.coalesce("_methods", F.array().cast("array<string>")).alias("methods"))
+    listed = lambda keep: F.array_sort(F.collect_list(F.when(keep, entry)))
+    inside = own.groupBy("repo", "file_path").agg(listed(F.col("type") == "class").alias("classes"), listed((F.col("type") == "function") & ~inner).alias("functions"))
     files = g.nodes.where("type = 'file'").select("repo", "file_path", F.col("id").alias("of"))
-    imports = file_dependencies(g).groupBy("of").agg(F.array_sort(F.collect_set("name")).alias("imports"))
-    return files.join(inside, ["repo", "file_path"]).join(imports, "of", "left").select("of", "classes", "functions", F.coalesce("imports", F.array().cast("array<string>")).alias("imports"))
+    imports = _joined(g, "imports", "src", "dst").groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pos", "name"))), lambda x: x["name"]).alias("imports"))
+    out = files.join(inside, ["repo", "file_path"], "left").join(imports, "of", "left")
+    none = lambda name: F.coalesce(name, F.array().cast(out.schema[name].dataType))
+    return out.select("of", none("classes").alias("classes"), none("functions").alias("functions"), none("imports").alias("imports"))
 
 
 def components(g: Graph) -> DataFrame:

@@ -79,5 +79,12 @@ ORACLES = {
 union all select stored.id, stored.hash, 'delete' from stored join cur on stored.id = cur.id where stored.hash is null or cur.hash is null or stored.hash <> cur.hash""",
     "p3_processed": _EARLY + """select early.id, early.hash from early left join stored on stored.id = early.id where early.id is null or stored.hash is null or early.hash is null or stored.hash <> early.hash
 union all select cur.id, cur.hash from cur left join before on before.id = cur.id where cur.id is null or before.hash is null or cur.hash is null or before.hash <> cur.hash""",
+    "p6_hierarchy": _PARENTS + """, hier as (select c.seq, p.parent_seq, case when f.seq is null then c.seq when f.looped then list_min(f.path[list_position(f.path, f.path[-1]):]) else f.path[-1] end as root_seq,
+  case when f.seq is null then 'root' when not f.looped then 'tree' when f.path[-1] = c.seq then 'cycle' else 'below' end as kind,
+  case when f.seq is null or f.looped and f.path[-1] = c.seq then [c.seq] when f.looped then list_reverse(f.path[1:list_position(f.path, f.path[-1])]) else list_reverse(f.path) end as path
+  from cur c left join fin f on f.seq = c.seq left join par p on p.seq = c.seq)
+select seq, parent_seq, root_seq, kind, len(path) - 1 as depth, path from hier""",
+    "p6_descendants": _PARENTS + """, hier as (select c.seq, case when f.seq is null or f.looped and f.path[-1] = c.seq then [c.seq] when f.looped then f.path[1:list_position(f.path, f.path[-1])] else f.path end as up from cur c left join fin f on f.seq = c.seq)
+select ancestor, descendant, distance from (select seq as descendant, unnest(up[2:]) as ancestor, generate_subscripts(up[2:], 1) as distance from hier where len(up) > 1)""",
     "p6_found": _PARENTS + """select seq, case when looped then list_min(path[list_position(path, path[-1]):]) else path[-1] end as root_seq from fin""",
 }

@@ -19,8 +19,8 @@ from ..operators import graph_queries as Q
 from ..operators import sync as Y
 from ..operators import vectors as V
 from ..operators.components import connected_components
-from ..operators.encode import HashEncoder
-from ..operators.imports import language_of, resolved_imports
+from ..operators.encode import HashEncoder, ModelEncoder
+from ..operators.imports import C_ROOTS, GO_EXTERNAL, GO_ROOTS, JAVA_EXTERNAL, JAVA_ROOTS, PYTHON_EXTERNAL, PYTHON_ROOTS, SUFFIXES, TS_SUFFIXES, language_of, resolved_imports
 from ..session import materialize
 from ..sources.scan import IGNORED, ignored, should_process
 from ..sources.tables import table
@@ -39,13 +39,26 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return E.deduplicated(E.identified(rows))
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def _kept(spark: SparkSession, d: str, what: str, make):
+    """One snapshot of ``what`` for a session and a folder: written once to the shared folder, then read."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def slim(spark: SparkSession, d: str) -> DataFrame:
     """The columns the graph is made of."""
-    return materialize(corpus(spark, d).select("id", "repo", "file_path", "entity_type", "name", "seq", "start_line", "end_line", "language", "class_name", "calls", "bases", "imports", "defines"), "entities")
+    columns = ("id", "repo", "file_path", "entity_type", "name", "seq", "start_line", "end_line", "language", "class_name", "calls", "bases", "imports", "defines")
+    return _kept(spark, d, "entities", lambda: materialize(corpus(spark, d).select(*columns), "entities"))
 
 
 def graph(spark: SparkSession, d: str) -> G.Graph:
-    return G.Graph.build(corpus(spark, d))
+    """The graph of the whole corpus, as an engine keeps it."""
+    return _kept(spark, d, "graph", lambda: G.Graph.build(slim(spark, d), unique=True, written=True))
 
 
 # -- vectors --------------------------------------------------------------------------------------
@@ -81,7 +94,18 @@ def vector_get_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_count(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "code_vectors").groupBy("repo", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    return V.counts(table(spark, d, "code_vectors"), "repo", "entity_type")
+
+
+def vector_count_of(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "code_vectors")
+    return spark.createDataFrame([(V.count(rows), V.count(rows, repo="tidewater-core"), V.count(rows, repo="tidewater-core", entity_type="function"), V.count(V.cleared(rows)))], "n long, of_repo long, of_kind long, cleared long")
+
+
+def vector_delete_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The table without the ids of the failed runs' rows."""
+    rows = table(spark, d, "code_vectors")
+    return V.without_ids(rows, rows.where("run_id % 7 = 0").select("id")).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vector_delete_by_file(spark: SparkSession, d: str) -> DataFrame:
@@ -151,14 +175,51 @@ def sync_reconciled(spark: SparkSession, d: str) -> DataFrame:
     return Y.summary(Y.actions(_given(spark, d), _stored(spark, d), reconcile=True))
 
 
+def _vector_table(spark: SparkSession, d: str) -> DataFrame:
+    """The vector table of all repositories: the latest row of each id."""
+    rows = table(spark, d, "code_vectors").where("id is not null and entity_type = 'function'")
+    last = rows.groupBy("id").agg(F.max_by(F.struct("repo", "file_path", tidy(F.col("content_hash")).alias("content_hash")), "vec_id").alias("x"))
+    return last.select("id", E.repo_of_id(F.col("id")).alias("repo"), E.file_of_id(F.col("id")).alias("file_path"), "x.content_hash", F.lit(None).cast("array<float>").alias("embedding"))
+
+
+def _function_entities(spark: SparkSession, d: str) -> DataFrame:
+    rows = current_functions(table(spark, d, "code_functions"), code=F.col("code"), signature=F.col("signature"), docstring=F.col("docstring"))
+    rows = rows.withColumnRenamed("clean_path", "file_path").withColumn("entity_type", F.lit("function"))
+    return E.identified(E.complete(rows)).where("id is not null")
+
+
 def sync_file_diff(spark: SparkSession, d: str) -> DataFrame:
-    own = lambda df: df.where(E.file_of_id(F.col("id")) == GENERATED)
-    return Y.summary(Y.actions(own(_given(spark, d)), own(_stored(spark, d))))
+    """The sync of the generated file of one repository: what it does, and the table's size after it."""
+    out, acts = Y.sync_file(_function_entities(spark, d), _vector_table(spark, d), "tidewater-core", GENERATED, HashEncoder(16))
+    return Y.summary(acts).withColumn("stored", F.lit(out.count()))
+
+
+def sync_all(spark: SparkSession, d: str) -> DataFrame:
+    """The vector table's hashes after a whole sync: encoded again what changed, deleted what is gone."""
+    out, _ = Y.sync(_function_entities(spark, d), _vector_table(spark, d), HashEncoder(16))
+    return out.select("id", F.coalesce("content_hash", F.lit("")).alias("content_hash"), F.col("embedding").isNotNull().alias("encoded"))
 
 
 def full_reindex_counts(spark: SparkSession, d: str) -> DataFrame:
-    gone = _stored(spark, d).select(F.lit("deleted").alias("action"))
-    return gone.unionByName(_given(spark, d).select(F.lit("added").alias("action"))).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    """A full reindex of one repository, counted by action, and the rows of each repository after it."""
+    entities = _function_entities(spark, d).where("repo = 'tidewater-core'")
+    out, acts = Y.full_reindex(entities, _vector_table(spark, d), "tidewater-core", HashEncoder(16))
+    return acts.groupBy("action").agg(F.count(F.lit(1)).alias("n")).unionByName(out.groupBy(F.col("repo").alias("action")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def embed_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The rows to store of all embeddable entities: every vector has the wanted length and is of length 1 or 0."""
+    rows = Y.vector_rows(E.embeddable(corpus(spark, d)), HashEncoder(32))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    return rows.select("id", "entity_type", F.size("embedding").alias("dimensions"), F.round(norm, 3).cast("int").alias("unit"))
+
+
+def encode_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """A model's vectors cut to a smaller dimension, for documents and as queries; the model here gives the length of its text."""
+    model = ModelEncoder(lambda: lambda texts: [[float(len(t)), 1.0, 2.0] for t in texts], 2, "lengths")
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc_id", model.encode(F.col("text")).alias("v"), model.encode(F.col("text"), True).alias("q")).select(
+        "doc_id", F.size("v").alias("dimensions"), F.col("v")[0].cast("long").alias("document_chars"), F.col("q")[0].cast("long").alias("query_chars"))
 
 
 # -- graph ----------------------------------------------------------------------------------------
@@ -179,13 +240,11 @@ def symbol_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(kind: str, spark: SparkSession, d: str) -> DataFrame:
-    rows = slim(spark, d)
-    return G.build_edges(rows, G.real_nodes(rows)).where(F.col("type") == kind).select("src", "dst")
+    return graph(spark, d).edges.where(F.col("type") == kind).select("src", "dst")
 
 
 def external_refs(spark: SparkSession, d: str) -> DataFrame:
-    rows = slim(spark, d)
-    edges = G.build_edges(rows, G.real_nodes(rows)).where("type in ('calls', 'inherits') and startswith(dst, 'external:')")
+    edges = graph(spark, d).edges.where("type in ('calls', 'inherits') and startswith(dst, 'external:')")
     return edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -214,12 +273,47 @@ def file_dependents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_structures(spark: SparkSession, d: str) -> DataFrame:
-    return Q.all_file_structures(graph(spark, d))
+    """Every file's classes with their methods, top-level functions with lines, and imports."""
+    out = Q.all_file_structures(graph(spark, d))
+    as_text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("@", x["name"], x["start_line"].cast("string"))), ",")
+    classes = F.array_join(F.transform("classes", lambda c: F.concat(c["name"], F.lit("("), F.array_join(c["methods"], "+"), F.lit(")"))), ",")
+    return out.select("of", classes.alias("classes"), as_text(F.col("functions")).alias("functions"), F.array_join("imports", ",").alias("imports"))
+
+
+def successors(spark: SparkSession, d: str) -> DataFrame:
+    """What the generated file's first function leads to, and what leads to it, of any type."""
+    g = graph(spark, d)
+    id_ = f"tidewater-core:{GENERATED}:close_orbit_hash"
+    return g.successors(id_).select(F.lit("out").alias("way"), "id", "type").unionByName(g.predecessors(id_).select(F.lit("in").alias("way"), "id", "type"))
+
+
+def nodes_by(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of a file, and the classes, with whether an id is known."""
+    g = graph(spark, d)
+    of_file = g.by_file(GENERATED).select(F.lit("file").alias("by"), "id")
+    known = spark.createDataFrame([("known", str(g.has_entity("nowhere"))), ("known", str(g.has_entity(f"tidewater-core:{GENERATED}")))], "by string, id string")
+    return of_file.unionByName(g.by_type("class").select(F.lit("class").alias("by"), "id")).unionByName(known)
+
+
+def graph_edits(spark: SparkSession, d: str) -> DataFrame:
+    """The edges after new ones were added (the later type of a pair wins; ends must be nodes) and a repository's classes were removed, counted by type."""
+    g = graph(spark, d)
+    uses = g.edges.where("type = 'inherits' and not startswith(dst, 'external:')").select("src", "dst", F.lit("uses").alias("type"), "seq")
+    lost = spark.createDataFrame([("nowhere", "nothing", "uses", 1)], "src string, dst string, type string, seq long")
+    out = g.add_edges(uses.unionByName(lost)).remove_entities(g.nodes.where("type = 'class' and repo = 'tidewater-core'").select("id"))
+    return out.edges.groupBy("type").agg(F.count(F.lit(1)).alias("n")).unionByName(out.nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("node "), "type").alias("type"), "n"))
+
+
+def symbols_in_file(spark: SparkSession, d: str) -> DataFrame:
+    """The names of one file, and all names once that file is unregistered, counted by scope."""
+    rows = slim(spark, d)
+    own = G.symbols_in_file(rows, GENERATED).select(F.lit("own").alias("part"), "scope", "name", "id")
+    rest = G.symbols(G.unregistered(rows, GENERATED)).groupBy("scope").agg(F.count(F.lit(1)).cast("string").alias("name")).select(F.lit("rest").alias("part"), "scope", "name", F.lit(None).cast("string").alias("id"))
+    return own.unionByName(rest)
 
 
 def find_symbol(spark: SparkSession, d: str) -> DataFrame:
-    g = G.Graph(G.real_nodes(corpus(spark, d)), spark.createDataFrame([], "src string, dst string, type string, seq long"))
-    return Q.find_symbol(g, "close_orbit_hash", GENERATED).select("id", "name", "type", "score")
+    return Q.find_symbol(graph(spark, d), "close_orbit_hash", GENERATED).select("id", "name", "type", "score")
 
 
 def _root(g: G.Graph) -> str:
@@ -261,9 +355,17 @@ def find_paths(spark: SparkSession, d: str) -> DataFrame:
     return Q.find_paths(g, root, goal, Q.PATH_LENGTH).select(F.array_join("path", " > ").alias("path"))
 
 
+def call_chain_incoming(spark: SparkSession, d: str) -> DataFrame:
+    """Who reaches the function that most others call, in at most five calls."""
+    g = graph(spark, d)
+    goal = g.edges.where("type = 'calls'").groupBy("dst").count().orderBy(F.col("count").desc(), "dst").first().dst
+    return Q.call_chain_levels(g, goal, Q.DEPTH, "incoming")
+
+
 def remove_file(spark: SparkSession, d: str) -> DataFrame:
-    g, _ = graph(spark, d).remove_file(GENERATED)
-    return g.statistics()
+    """The statistics without a file, and how many nodes went."""
+    g, gone = graph(spark, d).remove_file(GENERATED)
+    return g.statistics().withColumn("gone", F.lit(gone.count()))
 
 
 # -- files, changes, status -----------------------------------------------------------------------
@@ -300,10 +402,11 @@ def move_explode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def apply_delta(spark: SparkSession, d: str) -> DataFrame:
-    """The functions after the files with classes were replaced by rows without any."""
+    """The entities after the files with classes were replaced: each class by a function of its name."""
     rows = corpus(spark, d)
-    paths = rows.where("entity_type = 'class'").select("file_path")
-    return G.replace_files(rows, paths, rows.limit(0)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    old = rows.where("entity_type = 'class'")
+    fresh = E.identified(E.complete(old.withColumn("entity_type", F.lit("function"))))
+    return G.replace_files(rows, old.select("repo", "file_path"), fresh).groupBy("repo", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def index_status(spark: SparkSession, d: str) -> DataFrame:
@@ -322,14 +425,14 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "vector_topk": vector_topk, "vector_topk_filtered": vector_topk_filtered, "vector_topk_prefix": vector_topk_prefix, "vector_topk_overfetch": partial(vector_topk_prefix, overfetch=3),
-    "hash_embed_topk": hash_embed_topk, "vector_get_by_id": vector_get_by_id, "vector_count": vector_count, "vector_delete_by_file": vector_delete_by_file,
+    "hash_embed_topk": hash_embed_topk, "vector_get_by_id": vector_get_by_id, "vector_count": vector_count, "vector_count_of": vector_count_of, "vector_delete_by_ids": vector_delete_by_ids, "vector_delete_by_file": vector_delete_by_file,
     "vector_delete_by_repo": vector_delete_by_repo, "vector_upsert": vector_upsert, "content_hashes": content_hashes, "file_of_id": file_of_id, "entity_ids": entity_ids, "embed_text": embed_text,
     "entity_metadata": entity_metadata, "metadata_flat": metadata_flat, "sync_actions": sync_actions, "sync_diff": sync_diff, "sync_reconciled": sync_reconciled,
-    "sync_file_diff": sync_file_diff, "full_reindex_counts": full_reindex_counts, "graph_nodes": graph_nodes, "node_counts": node_counts, "graph_statistics": graph_statistics,
+    "sync_file_diff": sync_file_diff, "full_reindex_counts": full_reindex_counts, "sync_all": sync_all, "embed_entities": embed_entities, "encode_truncated": encode_truncated, "graph_nodes": graph_nodes, "node_counts": node_counts, "graph_statistics": graph_statistics,
     "symbol_table": symbol_table, "calls_edges": partial(_edges, "calls"), "contains_edges": partial(_edges, "contains"), "inherits_edges": partial(_edges, "inherits"),
     "defines_edges": partial(_edges, "defines"), "imports_edges": partial(_edges, "imports"), "external_refs": external_refs, "imports_resolved": imports_resolved,
     "function_calls": function_calls, "callers": callers, "class_hierarchy": class_hierarchy, "file_dependencies": file_dependencies, "file_dependents": file_dependents,
-    "file_structures": file_structures, "find_symbol": find_symbol, "call_chain_levels": call_chain_levels, "call_chain_tree": call_chain_tree, "components": components,
+    "file_structures": file_structures, "successors": successors, "nodes_by": nodes_by, "graph_edits": graph_edits, "symbols_in_file": symbols_in_file, "call_chain_incoming": call_chain_incoming, "find_symbol": find_symbol, "call_chain_levels": call_chain_levels, "call_chain_tree": call_chain_tree, "components": components,
     "components_inherits": components_inherits, "find_paths": find_paths, "remove_file": remove_file, "ignore_filter": ignore_filter, "language_of_file": language_of_file,
     "should_process_files": should_process_files, "debounce_batches": debounce_batches, "debounce_last_event": debounce_last_event, "move_explode": move_explode,
     "apply_delta": apply_delta, "index_status": index_status, "extracted": extracted,
@@ -339,11 +442,12 @@ _PATH = CLEAN_PATH.format("file_path")
 _HEADER = "sha256(name || ':' || array_to_string(list_sort(coalesce(bases, [])), ',') || ':' || array_to_string(list_sort(coalesce(decorators, [])), ','))"
 _ENT = f"""
 raw as (
-  select seq, repo, {_PATH} as file_path, 'function' as entity_type, name, class_name, calls, null::varchar[] as bases, null::varchar[] as defines, decorators, docstring, signature, code, null::varchar[] as methods, sha256(code) as content_hash from code_functions
-  union all select seq, repo, {_PATH}, 'class', name, null, null, bases, null, decorators, docstring, null, code, methods, {_HEADER} from code_classes
-  union all select seq, repo, {_PATH}, 'file', name, null, null, null, defines, null, null, null, null, null, null from code_files),
+  select seq, repo, {_PATH} as file_path, 'function' as entity_type, name, class_name, calls, null::varchar[] as bases, null::varchar[] as defines, decorators, docstring, signature, code, null::varchar[] as methods, sha256(code) as content_hash,
+    start_line, end_line, null::varchar as language, null::varchar[] as imports from code_functions
+  union all select seq, repo, {_PATH}, 'class', name, null, null, bases, null, decorators, docstring, null, code, methods, {_HEADER}, start_line, end_line, null, null from code_classes
+  union all select seq, repo, {_PATH}, 'file', name, null, null, null, defines, null, null, null, null, null, null, start_line, end_line, language, imports from code_files),
 ids as (select *, case when entity_type = 'file' then repo || ':' || file_path when coalesce(class_name, '') <> '' then repo || ':' || file_path || ':' || class_name || '.' || name else repo || ':' || file_path || ':' || name end as id from raw),
-ent as (select * exclude (rn, seq, fs), fs as seq from (select *, min(seq) over (partition by id) fs, row_number() over (partition by id order by seq desc) rn from ids) where rn = 1)
+ent as (select * exclude (rn, seq, fs, k), fs as seq from (select *, min(seq) over (partition by id, k) fs, row_number() over (partition by id, k order by seq desc) rn from (select *, case when id is null then seq end as k from ids)) where rn = 1)
 """
 _SYM = """
 ent0 as (select * from ent where entity_type in ('function', 'class') and id is not null and name is not null),
@@ -368,6 +472,77 @@ def _refs(column: str, kind: str) -> str:
     return f"refs as (select id as src, repo, file_path, ref from (select id, repo, file_path, unnest({column}) as ref from ent where entity_type = '{kind}' and id is not null) where ref is not null and ref <> '')"
 
 
+#: Import resolution: the candidates of every language in order, the first that is a file, and the first file of that path or with that tail.
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _normal(path: str) -> str:
+    """A path with ``.`` and ``..`` resolved; ``..`` beyond the top stays."""
+    last = "string_split(a, '/')[-1]"
+    return (f"list_reduce(list_prepend('', list_filter(string_split({path}, '/'), lambda x: x <> '' and x <> '.')), "
+            f"lambda a, x: case when x = '..' and a <> '' and {last} <> '..' then regexp_replace(a, '/?[^/]*$', '') when a = '' then x else a || '/' || x end)")
+
+
+def _below(folder: str, rest: str) -> str:
+    return f"(case when {folder} = '' then {rest} else {folder} || '/' || {rest} end)"
+
+
+def _tried(base: str, tails) -> str:
+    return "[" + ", ".join(f"({base}) || '{t}'" for t in tails) + "]"
+
+
+_UPS = "list_filter(string_split(folder, '/'), lambda x: x <> '')"
+_DOTS = "length(regexp_extract(imp, '^(\\.*)', 1))"
+_PY_BASE = f"array_to_string(list_slice({_UPS}, 1, greatest(len({_UPS}) - ({_DOTS} - 1), 0)), '/')"
+_PY_REST = "replace(regexp_replace(imp, '^\\.+', ''), '.', '/')"
+_PY_TARGET = f"(case when {_PY_REST} = '' then {_PY_BASE} else {_below(_PY_BASE, _PY_REST)} end)"
+_UP = "regexp_replace(regexp_extract(folder, '^(.*)/[^/]*$', 1), '/+$', '')"
+_RUST_BASE = f"(case split_part(imp, '::', 1) when 'super' then {_UP} when 'crate' then 'src' else folder end)"
+_RUST_REST = "array_to_string(string_split(imp, '::')[2:], '/')"
+_GO = "trim(imp, '\"''')"
+_BARE = "trim(imp, '<>\"''')"
+_SCRIPT = f"case when starts_with(imp, './') or starts_with(imp, '../') then {_tried(_normal(_below('folder', 'imp')), TS_SUFFIXES)} else [] end"
+_HEADER_FILE = f"case when ends_with({_BARE}, '.h') then [{_normal(_below('folder', _BARE))}, " + ", ".join(_normal(f"'{r}' || " + _BARE) for r in ("", *C_ROOTS)) + "] else [] end"
+_CANDIDATES = f"""case lang
+  when 'python' then case when starts_with(imp, '.') then [{_PY_TARGET} || '.py', {_below(_PY_TARGET, "'__init__.py'")}] when split_part(imp, '.', 1) in {_in(PYTHON_EXTERNAL)} then []
+    else [{", ".join(f"'{r}' || replace(imp, '.', '/') || '{t}'" for r in PYTHON_ROOTS for t in (".py", "/__init__.py"))}] end
+  when 'typescript' then {_SCRIPT} when 'javascript' then {_SCRIPT}
+  when 'go' then case when contains(split_part({_GO}, '/', 1), '.') or split_part({_GO}, '/', 1) in {_in(GO_EXTERNAL)} then []
+    else [{", ".join(f"'{r}' || {_GO} || '{t}'" for r in GO_ROOTS for t in (".go", "/main.go"))}] end
+  when 'rust' then case when split_part(imp, '::', 1) in ('self', 'super', 'crate') and {_RUST_REST} <> '' then {_tried(_normal(_below(_RUST_BASE, _RUST_REST)), (".rs", "/mod.rs"))} else [] end
+  when 'java' then case when {" or ".join(f"starts_with(imp, '{x}')" for x in JAVA_EXTERNAL)} then [] else [{", ".join(f"'{r}' || replace(imp, '.', '/') || '.java'" for r in JAVA_ROOTS)}] end
+  when 'c' then {_HEADER_FILE} when 'cpp' then {_HEADER_FILE} else [] end"""
+_LANGUAGE = "case lower(regexp_extract({0}, '[^/]\\.([^./]+)$', 1)) " + " ".join(f"when '{k}' then '{v}'" for k, v in SUFFIXES.items()) + " end"
+_IMP = f"""
+imps as (select id, repo, file_path, seq, pos, imp, lang, regexp_replace(regexp_extract(file_path, '^(.*)/[^/]*$', 1), '/+$', '') as folder
+  from (select id, repo, file_path, seq, unnest(imports) as imp, generate_subscripts(imports, 1) - 1 as pos, coalesce(lower(trim(language)), {_LANGUAGE.format("file_path")}) as lang from ent where entity_type = 'file' and id is not null)
+  where imp is not null and imp <> ''),
+tries as (select id, repo, pos, unnest(c) as path, generate_subscripts(c, 1) as rank from (select id, repo, pos, cast({_CANDIDATES} as varchar[]) as c from imps)),
+hits as (select t.id, t.pos, t.repo, arg_min(t.path, t.rank) as path from tries t join (select distinct repo, file_path from ent where entity_type = 'file') f on f.repo = t.repo and f.file_path = t.path group by all),
+targets as (select h.id, h.pos, any_value(h.path) as path, arg_min(e.id, e.seq) as target from hits h join ent e on e.entity_type = 'file' and e.id is not null and e.repo = h.repo and (e.file_path = h.path or ends_with(e.file_path, '/' || h.path)) group by h.id, h.pos),
+resolved as (select i.*, t.path, t.target from imps i left join targets t on t.id = i.id and t.pos = i.pos)
+"""
+_REF = """
+refs as (select id as src, repo, file_path, seq, pos, ref, kind from (
+    select id, repo, file_path, seq, unnest(calls) as ref, generate_subscripts(calls, 1) - 1 as pos, 'calls' as kind from ent where entity_type = 'function' and id is not null
+    union all select id, repo, file_path, seq, unnest(bases), generate_subscripts(bases, 1) - 1, 'inherits' from ent where entity_type = 'class' and id is not null
+    union all select id, repo, file_path, seq, class_name, 0, 'contains' from ent where entity_type = 'function' and coalesce(class_name, '') <> '' and id is not null) where ref is not null and ref <> ''),
+linked as (select r.*, coalesce(q.id, f.id, g.id) as target, n.id as first_id from refs r
+  left join sym q on q.scope = 'qualified' and q.repo = r.repo and q.name = r.ref
+  left join sym f on f.scope = 'file' and f.repo = r.repo and f.file_path = r.file_path and f.name = r.ref
+  left join sym g on g.scope = 'global' and g.repo = r.repo and g.name = r.ref
+  left join fst n on n.repo = r.repo and n.name = r.ref),
+alle as (
+  select src, coalesce(target, first_id, 'external:' || ref) as dst, kind as type, seq, case kind when 'calls' then 0 else 2 end as phase, pos from linked where kind <> 'contains'
+  union all select target, src, kind, seq, 1, pos from linked where kind = 'contains' and target is not null
+  union all select x.id, x.def, 'defines', x.seq, 3, x.pos from (select id, seq, unnest(defines) as def, generate_subscripts(defines, 1) - 1 as pos from ent where entity_type = 'file' and id is not null) x join ent e on e.id = x.def
+  union all select r.id, coalesce(r.target, n.id, 'external:' || r.imp), 'imports', r.seq, 4, r.pos from resolved r left join fst n on n.repo = r.repo and n.name = r.imp),
+edge as (select src, dst, arg_max(type, (seq, phase, pos)) as type, min((seq, phase, pos)) as at from alle group by src, dst),
+node as (select id, entity_type as type, repo, name, file_path, start_line, end_line, seq from ent union all select distinct dst, 'external', null, substring(dst, 10), null, null, null, null from edge where starts_with(dst, 'external:'))
+"""
+_GRAPH = f"with recursive {_ENT}, {_SYM}, {_IMP}, {_REF}"
+_STATS = "select count(*) as nodes, count(*) filter (where type = 'function') as functions, count(*) filter (where type = 'class') as classes, count(*) filter (where type = 'file') as files, count(*) filter (where type = 'type') as types, count(*) filter (where type = 'external') as external"
 _CALLS = f"with {_ENT}, {_SYM}, {_refs('calls', 'function')}, edge as (select distinct src, dst from ({_RES}))"
 _INHERITS = f"with {_ENT}, {_SYM}, {_refs('bases', 'class')}, edge as (select distinct src, dst from ({_RES}))"
 _COS = "round(list_cosine_similarity(e.embedding::double[], q.v), 6)"
@@ -377,8 +552,8 @@ _SYNC = f"""
 with given as (select repo || ':' || clean_path || ':' || coalesce(class_name || '.', '') || name as id, sha256(code) as h from ({CURRENT_FUNCTIONS})),
 stored as (select id, coalesce(arg_max(h, vec_id), '') as h from (select id, vec_id, {_TIDY.format('content_hash')} as h from code_vectors where id is not null and entity_type = 'function') group by id),
 both_ as (select coalesce(g.id, s.id) as id, g.id as gid, s.id as sid, g.h as gh, s.h as sh from given g full join stored s on g.id = s.id),
-files as (select distinct regexp_extract(id, '^[^:]*:(.*):[^:]*$', 1) as f from given where id is not null),
-acts as (select id, case when sid is null then 'added' when gid is not null and gh = sh then 'skipped' when gid is not null then 'updated' when regexp_extract(id, '^[^:]*:(.*):[^:]*$', 1) in (select f from files) then 'deleted' end as action,
+files as (select distinct split_part(id, ':', 1) || ':' || regexp_extract(id, '^[^:]*:(.*):[^:]*$', 1) as f from given where id is not null),
+acts as (select id, case when sid is null then 'added' when gid is not null and gh = sh then 'skipped' when gid is not null then 'updated' when split_part(id, ':', 1) || ':' || regexp_extract(id, '^[^:]*:(.*):[^:]*$', 1) in (select f from files) then 'deleted' end as action,
   case when sid is null then 'added' when gid is not null and gh = sh then 'skipped' when gid is not null then 'updated' else 'deleted' end as strict from both_)
 """
 
@@ -415,8 +590,15 @@ ORACLES = {
     "sync_actions": _SYNC + "select id, action from acts where action is not null",
     "sync_diff": _SYNC + _counts(),
     "sync_reconciled": _SYNC + _counts("strict"),
-    "sync_file_diff": _SYNC + _counts(where=f"regexp_extract(id, '^[^:]*:(.*):[^:]*$', 1) = '{GENERATED}'"),
-    "full_reindex_counts": _SYNC + "select 'deleted' as action, count(*) as n from stored union all select 'added', count(*) from given",
+    "sync_file_diff": _SYNC + f", own as (select * from acts where starts_with(id, 'tidewater-core:{GENERATED}:')) select count(*) filter (where strict = 'added') as added, count(*) filter (where strict = 'updated') as updated, count(*) filter (where strict = 'deleted') as deleted, "
+        "count(*) filter (where strict = 'skipped') as skipped, count(*) as total_processed, (select count(*) from stored) + count(*) filter (where strict = 'added') - count(*) filter (where strict = 'deleted') as stored from own",
+    "sync_all": _SYNC + "select a.id, coalesce(case when a.action in ('added', 'updated') then g.h else s.h end, '') as content_hash, coalesce(a.action in ('added', 'updated'), false) as encoded from acts a left join given g on g.id = a.id left join stored s on s.id = a.id where a.id is not null and coalesce(a.action, '') <> 'deleted'",
+    "full_reindex_counts": _SYNC + "select 'deleted' as action, count(*) as n from stored where split_part(id, ':', 1) = 'tidewater-core' union all select 'added', count(*) from given where split_part(id, ':', 1) = 'tidewater-core' "
+        "union all select r, count(*) from (select split_part(id, ':', 1) as r from stored where split_part(id, ':', 1) <> 'tidewater-core' union all select 'tidewater-core' from given where split_part(id, ':', 1) = 'tidewater-core') group by r",
+    "embed_entities": f"with {_ENT} select id, entity_type, 32 as dimensions, 1 as unit from ent where entity_type <> 'file'",
+    "encode_truncated": "select doc_id, 2 as dimensions, length(coalesce(text, '')) + 17 as document_chars, length(coalesce(text, '')) + 15 as query_chars from documents",
+    "vector_count_of": "select count(*) as n, count(*) filter (where repo = 'tidewater-core') as of_repo, count(*) filter (where repo = 'tidewater-core' and entity_type = 'function') as of_kind, 0 as cleared from code_vectors",
+    "vector_delete_by_ids": "select repo, count(*) as n from code_vectors where id is null or id not in (select id from code_vectors where run_id % 7 = 0 and id is not null) group by repo",
     "graph_nodes": f"with {_ENT} select id, entity_type as type, name, file_path, seq from ent",
     "node_counts": f"with {_ENT} select entity_type as type, count(*) as n from ent group by 1",
     "symbol_table": f"with {_ENT}, {_SYM} select repo, scope, file_path, name, id from sym",
@@ -433,14 +615,41 @@ ORACLES = {
         "union all select e.dst, 'child', e.src, x.name, x.file_path, false from edge e join ent x on x.id = e.src",
     "find_symbol": f"with {_ENT} select id, name, entity_type as type, case when name = 'close_orbit_hash' then case when file_path = '{GENERATED}' then 150 else 100 end else case when file_path = '{GENERATED}' then 75 else 50 end end as score from ent "
         "where name = 'close_orbit_hash' or ends_with(name, '.close_orbit_hash') or ends_with(id, ':close_orbit_hash')",
-    "call_chain_levels": _CALLS.replace("with ", "with recursive ", 1) + _CHAIN + ", walk as (select src as id, 0 as depth from root union select e.dst, walk.depth + 1 from walk join edge e on e.src = walk.id where walk.depth < 3) select id, min(depth) as depth from walk group by id",
+    "call_chain_levels": _CALLS.replace("with ", "with recursive ", 1) + _CHAIN + ", walk as (select src as id, 0 as depth from root union select e.dst, walk.depth + 1 from walk join edge e on e.src = walk.id where walk.depth < 5) select id, min(depth) as depth from walk group by id",
     "components_inherits": _INHERITS.replace("with ", "with recursive ", 1) + ", und as (select src as a, dst as b from edge union select dst, src from edge), reach as (select a as node, a as other from und union select reach.node, und.b from reach join und on und.a = reach.other) select node, min(other) as component from reach group by node",
     "language_of_file": "select seq, case lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) when 'py' then 'python' when 'ts' then 'typescript' when 'js' then 'javascript' when 'go' then 'go' when 'rs' then 'rust' when 'java' then 'java' end as language from code_functions",
     "debounce_batches": f"with e as ({_EVENTS}), g as (select *, case when ts - lag(ts) over (order by ts) <= interval 60 seconds then 0 else 1 end as fresh from e), s as (select *, sum(fresh) over (order by ts range unbounded preceding) as batch from g), "
         "l as (select batch, path, arg_max(change_type, (ts, change_type = 'delete')) as change_type from s group by all) select batch::bigint as batch, count(*) as paths, count(*) filter (where change_type = 'delete') as deletes from l group by batch",
     "debounce_last_event": f"select path, arg_max(change_type, (ts, change_type = 'delete')) as change_type from ({_EVENTS}) group by path",
     "move_explode": "with x as (select 'a' || user_id as path, case when event_type in ('click', 'error') then 'delete' else 'upsert' end as change_type from events union all select 'b' || user_id, 'upsert' from events where event_type = 'click') select path, change_type, count(*) as n from x group by all",
-    "apply_delta": f"with {_ENT} select entity_type, count(*) as n from ent where file_path not in (select file_path from ent where entity_type = 'class' and file_path is not null) group by 1",
+    "apply_delta": f"with {_ENT}, c as (select repo, file_path from ent where entity_type = 'class') select repo, entity_type, count(*) as n from (select repo, entity_type from ent e where not exists (select 1 from c where c.repo is not distinct from e.repo and c.file_path is not distinct from e.file_path) "
+        "union all select repo, 'function' from c) group by all",
+    "imports_resolved": f"with {_ENT}, {_IMP} select id, imp as \"import\", path as resolved_path, path is null as is_external, starts_with(imp, '.') or regexp_matches(imp, '^(self|super|crate)\\b') as is_relative from resolved",
+    "imports_edges": _GRAPH + "select src, dst from edge where type = 'imports'",
+    "graph_statistics": _GRAPH + _STATS + ", (select count(*) from edge) as edges from node",
+    "remove_file": _GRAPH + f", kept as (select * from node where file_path is distinct from '{GENERATED}'), gone as (select id from node where file_path = '{GENERATED}') " + _STATS
+        + ", (select count(*) from edge where src not in (select id from gone) and dst not in (select id from gone)) as edges, (select count(*) from gone) as gone from kept",
+    "file_dependencies": _GRAPH + "select e.src as of, e.dst as id, n.name, n.file_path, n.type, n.type = 'external' as is_external from edge e join node n on n.id = e.dst where e.type = 'imports'",
+    "file_dependents": _GRAPH + "select e.dst as of, e.src as id, n.name, n.file_path from edge e join node n on n.id = e.src where e.type = 'imports'",
+    "file_structures": _GRAPH + """, m as (select e.src, string_agg(n.name, '+' order by n.seq, n.name) as methods from edge e join node n on n.id = e.dst where e.type = 'contains' group by e.src),
+own as (select n.*, coalesce(m.methods, '') as methods, contains(string_split(n.id, ':')[-1], '.') as inner_ from node n left join m on m.src = n.id where n.type in ('class', 'function') and n.file_path is not null),
+cls as (select repo, file_path, string_agg(name || '(' || methods || ')', ',' order by seq, id) as classes from own where type = 'class' group by all),
+fun as (select repo, file_path, string_agg(concat_ws('@', name, start_line::varchar), ',' order by seq, id) as functions from own where type = 'function' and not inner_ group by all),
+imp as (select e.src, string_agg(n.name, ',' order by e.at, n.name) as imports from edge e join node n on n.id = e.dst where e.type = 'imports' group by e.src)
+select f.id as of, coalesce(c.classes, '') as classes, coalesce(u.functions, '') as functions, coalesce(i.imports, '') as imports from node f left join cls c on c.repo = f.repo and c.file_path = f.file_path
+left join fun u on u.repo = f.repo and u.file_path = f.file_path left join imp i on i.src = f.id where f.type = 'file' and f.repo is not null and f.file_path is not null""",
+    "successors": _GRAPH + f"select 'out' as way, dst as id, type from edge where src = 'tidewater-core:{GENERATED}:close_orbit_hash' union all select 'in', src, type from edge where dst = 'tidewater-core:{GENERATED}:close_orbit_hash'",
+    "nodes_by": _GRAPH + f"select 'file' as by, id from node where file_path = '{GENERATED}' union all select 'class', id from node where type = 'class' union all select 'known', case when x in (select id from node) then 'True' else 'False' end from (values ('nowhere'), ('tidewater-core:{GENERATED}')) t(x)",
+    "graph_edits": _GRAPH + """, gone as (select id from node where type = 'class' and repo = 'tidewater-core'),
+left_ as (select case when type = 'inherits' and not starts_with(dst, 'external:') then 'uses' else type end as type from edge where src not in (select id from gone) and dst not in (select id from gone))
+select type, count(*) as n from left_ group by type union all select 'node ' || type, count(*) from node where id not in (select id from gone) group by type""",
+    "symbols_in_file": f"with {_ENT}, {_SYM}, own0 as (select repo, scope, file_path, name, arg_max(id, seq) as id from reg where id in (select id from ent where file_path = '{GENERATED}') group by all), "
+        f"rest0 as (select repo, scope, file_path, name from reg where id in (select id from ent where file_path is distinct from '{GENERATED}') group by all) "
+        "select 'own' as part, scope, name, id from own0 union all select 'rest', scope, count(*)::varchar, null from rest0 group by scope",
+    "call_chain_incoming": _CALLS.replace("with ", "with recursive ", 1) + ", root as (select dst from edge group by dst order by count(*) desc, dst limit 1), walk as (select dst as id, 0 as depth from root union select e.src, walk.depth + 1 from walk join edge e on e.dst = walk.id where walk.depth < 5) select id, min(depth) as depth from walk group by id",
+    "components": _GRAPH + """, und as (select src as a, dst as b from edge union select dst, src from edge),
+cc(id, comp) using key (id) as (select id, id from node union (select distinct on (u.id) u.id, v.comp from recurring.cc u join und on und.a = u.id join cc v on v.id = und.b where v.comp < u.comp order by u.id, v.comp))
+select comp as component, count(*) as n from cc group by comp""",
     "index_status": f"with {_ENT} select count(*) filter (where entity_type = 'function') as functions, count(*) filter (where entity_type = 'class') as classes, count(*) filter (where entity_type = 'file') as files, (select count(*) from code_vectors) as embeddings from ent",
 }
 _IGNORED_SQL = "(" + ", ".join(f"'{x}'" for x in IGNORED) + ")"
