@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_queries, reference_queries, snippets
+from . import data_queries, fixtures, reference_queries, snippets
 
-_PARTS = (reference_queries, snippets, data_queries)
+_PARTS = (reference_queries, snippets, fixtures, data_queries)
 
 
 def queries() -> dict:
