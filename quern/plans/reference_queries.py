@@ -21,8 +21,9 @@ from ..operators import vectors as V
 from ..operators.components import connected_components
 from ..operators.encode import HashEncoder, ModelEncoder
 from ..operators.imports import C_ROOTS, GO_EXTERNAL, GO_ROOTS, JAVA_EXTERNAL, JAVA_ROOTS, PYTHON_EXTERNAL, PYTHON_ROOTS, SUFFIXES, TS_SUFFIXES, language_of, resolved_imports
-from ..session import materialize
+from ..session import fresh_path, materialize
 from ..sources.scan import IGNORED, ignored, should_process
+from ..sources.snapshots import SnapshotStore
 from ..sources.tables import table
 from ..streaming import changes as C
 
@@ -410,8 +411,42 @@ def apply_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_status(spark: SparkSession, d: str) -> DataFrame:
-    nodes = G.real_nodes(corpus(spark, d)).select("type").unionByName(table(spark, d, "code_vectors").select(F.lit("vector").alias("type")))
-    return nodes.agg(*[F.count_if(F.col("type") == t).alias(n) for t, n in (("function", "functions"), ("class", "classes"), ("file", "files"), ("vector", "embeddings"))])
+    """The counts of the graph and of the vector table."""
+    counts = graph(spark, d).statistics().select("functions", "classes", "files")
+    return counts.withColumn("embeddings", F.lit(V.count(table(spark, d, "code_vectors"))))
+
+
+def _file_events(spark: SparkSession, d: str) -> DataFrame:
+    """An event a file row: every third a deletion, in the order of arrival."""
+    kind = F.when(F.col("seq") % 3 == 0, "delete").otherwise("upsert")
+    return table(spark, d, "code_files").select(clean_path(F.col("file_path")).alias("path"), kind.alias("change_type"), F.timestamp_seconds("seq").alias("event_time"))
+
+
+def stream_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The changes that a stream over a folder of events hands on: accepted files, the last change of each."""
+    inbox, out = fresh_path(spark, "inbox"), fresh_path(spark, "applied")
+    _file_events(spark, d).write.json(inbox)
+    query = C.start(C.change_stream(spark, inbox), lambda batch, number: batch.write.mode("append").parquet(out), fresh_path(spark, "checkpoint"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("path", "change_type")
+
+
+def corrected_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The changes of all functions' files, corrected by whether the file is there."""
+    changes = table(spark, d, "code_functions").select(clean_path(F.col("file_path")).alias("path"), F.lit("upsert").alias("change_type"), F.col("modified_at").alias("event_time"))
+    there = table(spark, d, "code_files").select(clean_path(F.col("file_path")).alias("path"))
+    return C.corrected(C.last_changes(changes), there)
+
+
+def snapshot_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A store's present and first version: tables not saved again keep their rows, older versions stay readable."""
+    store = SnapshotStore(spark, fresh_path(spark, "store"))
+    files, runs = table(spark, d, "code_files").select("seq"), table(spark, d, "sync_runs").select("run_id")
+    store.save({"files": files, "runs": runs})
+    store.save({"files": files.where("seq % 2 = 0")})
+    rows = [(f"{name} {version}", store.load(name, version).count()) for name in ("files", "runs") for version in (0, 1)]
+    rows += [("version", store.version()), ("missing", int(store.load("none") is None))]
+    return spark.createDataFrame(rows, "what string, n long")
 
 
 def extracted(spark: SparkSession, d: str) -> DataFrame:
@@ -435,7 +470,7 @@ QUERIES = {
     "file_structures": file_structures, "successors": successors, "nodes_by": nodes_by, "graph_edits": graph_edits, "symbols_in_file": symbols_in_file, "call_chain_incoming": call_chain_incoming, "find_symbol": find_symbol, "call_chain_levels": call_chain_levels, "call_chain_tree": call_chain_tree, "components": components,
     "components_inherits": components_inherits, "find_paths": find_paths, "remove_file": remove_file, "ignore_filter": ignore_filter, "language_of_file": language_of_file,
     "should_process_files": should_process_files, "debounce_batches": debounce_batches, "debounce_last_event": debounce_last_event, "move_explode": move_explode,
-    "apply_delta": apply_delta, "index_status": index_status, "extracted": extracted,
+    "apply_delta": apply_delta, "index_status": index_status, "stream_changes": stream_changes, "corrected_changes": corrected_changes, "snapshot_versions": snapshot_versions, "extracted": extracted,
 }
 
 _PATH = CLEAN_PATH.format("file_path")
@@ -596,7 +631,7 @@ ORACLES = {
     "full_reindex_counts": _SYNC + "select 'deleted' as action, count(*) as n from stored where split_part(id, ':', 1) = 'tidewater-core' union all select 'added', count(*) from given where split_part(id, ':', 1) = 'tidewater-core' "
         "union all select r, count(*) from (select split_part(id, ':', 1) as r from stored where split_part(id, ':', 1) <> 'tidewater-core' union all select 'tidewater-core' from given where split_part(id, ':', 1) = 'tidewater-core') group by r",
     "embed_entities": f"with {_ENT} select id, entity_type, 32 as dimensions, 1 as unit from ent where entity_type <> 'file'",
-    "encode_truncated": "select doc_id, 2 as dimensions, length(coalesce(text, '')) + 17 as document_chars, length(coalesce(text, '')) + 15 as query_chars from documents",
+    "encode_truncated": "select doc_id, 2 as dimensions, length(coalesce(text, '')) + 17 as document_chars, length(coalesce(text, '')) + 14 as query_chars from documents",
     "vector_count_of": "select count(*) as n, count(*) filter (where repo = 'tidewater-core') as of_repo, count(*) filter (where repo = 'tidewater-core' and entity_type = 'function') as of_kind, 0 as cleared from code_vectors",
     "vector_delete_by_ids": "select repo, count(*) as n from code_vectors where id is null or id not in (select id from code_vectors where run_id % 7 = 0 and id is not null) group by repo",
     "graph_nodes": f"with {_ENT} select id, entity_type as type, name, file_path, seq from ent",
@@ -656,3 +691,10 @@ _IGNORED_SQL = "(" + ", ".join(f"'{x}'" for x in IGNORED) + ")"
 _BAD = f"len(list_filter(list_filter(string_split(file_path, '/'), lambda x: x <> '' and x <> '.'), lambda x: x in {_IGNORED_SQL} or (starts_with(x, '.') and x not in ('.github', '.gitlab')))) > 0"
 ORACLES["ignore_filter"] = f"select seq, {_BAD} as ignored from code_files"
 ORACLES["should_process_files"] = f"select seq, coalesce(not ({_BAD}) and lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) in ('py', 'ts', 'js', 'go', 'rs', 'java'), false) as wanted from code_files"
+ORACLES["stream_changes"] = (
+    f"with e as (select seq, {_PATH} as file_path, case when seq % 3 = 0 then 'delete' else 'upsert' end as change_type from code_files) select file_path as path, arg_max(change_type, seq) as change_type from e "
+    f"where coalesce(not ({_BAD}) and lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) in ('py', 'ts', 'js', 'go', 'rs', 'java'), false) group by file_path")
+ORACLES["corrected_changes"] = f"select distinct {_PATH} as path, case when {_PATH} in (select {_PATH} from code_files where file_path is not null) then 'upsert' else 'delete' end as change_type from code_functions"
+ORACLES["snapshot_versions"] = (
+    "select 'files 0' as what, count(*) as n from code_files union all select 'files 1', count(*) from code_files where seq % 2 = 0 union all select 'runs 0', count(*) from sync_runs "
+    "union all select 'runs 1', count(*) from sync_runs union all select 'version', 1 union all select 'missing', 1")
