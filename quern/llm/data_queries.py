@@ -61,13 +61,17 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(spark, table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
 
+def p9_held_out(spark: SparkSession, d: str) -> DataFrame:
+    return reading.held_out(spark, table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.demanding(p9_levels(spark, d)).select("doc_id")
 
 
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p8_fill": p8_fill,
-    "p9_found": p9_found, "p9_levels": p9_levels,
+    "p9_found": p9_found, "p9_levels": p9_levels, "p9_held_out": p9_held_out,
 }
 
 ORACLES = {

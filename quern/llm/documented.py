@@ -1,9 +1,10 @@
 """Problem 5: functions and classes paired with their documentation.
 
 The comments of an entity's code (string literals that open a body, and comment blocks) are
-matched with the declarations of that code: each pair is scored by distance, by the tags that name
-parameters, and by names it mentions, and a bipartite assignment of greatest weight decides.
-Implausible links are refused, then descriptions that say nothing.
+matched with the declarations of that code: each comment is offered to every declaration within some lines of it, each pair is scored by
+distance, by the tags that name parameters, and by names it mentions, and a bipartite assignment of greatest weight decides
+which comment goes where. Implausible links are refused, then descriptions that say nothing. What is a plausible link is a parameter: by
+default only a comment that stands directly above its declaration or opens its body.
 
 An entity's documentation is its ``docstring`` if that isn't blank, otherwise the comment assigned to
 its declaration. It is a description if it has at least four different words, without lists of parameters
@@ -17,6 +18,7 @@ the current row; very long comments are read whole; text is returned without com
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +44,7 @@ _INHERITED = re.compile(r"^\W*(?:\{?@inheritdoc\}?|inherit(?:ed|s)?(?:\s+(?:doc|
 _TAG = re.compile(r"^\s*(?::(?:param|arg|argument|key|type|return|returns|rtype|raises?|except|yields?)\b[^:\n]*:?|@(?:param|arg|argument|return|returns|throws|exception|raises|yields?|typeparam)\b|\\(?:param|returns?)\b)")
 _SECTION = re.compile(r"^\s*(?:args|arguments|parameters|params|keyword arg(?:ument)?s|other parameters|returns?|yields?|raises|throws|attributes|# ?(?:arguments|returns|parameters|errors|panics))\s*:?\s*$", re.I)
 _INLINE_SECTION = re.compile(r"^\s*(?:returns?|yields?)\s*:\s*\S", re.I)
-_NAMED = re.compile(r"(?:[:@\\](?:param|arg|argument|type)\s+(?:\{[^}]*\}\s*)?(?:[\w<>\[\], ]+\s+)?([\w]+))|^\s+\*{0,2}(\w+)\s*(?:\([^)]*\))?\s*:", re.M)
+_NAMED = re.compile(r"[@\\](?:param|arg|argument)\s+(?:\{[^}]*\}\s*)?\[?(\w+)|:(?:param|arg|argument|type)\s+(?:[\w<>\[\], ]+\s+)?(\w+)\s*:|^\s+\*{0,2}(\w+)\s*(?:\([^)]*\))?\s*:", re.M)
 
 
 # -- text -------------------------------------------------------------------------------------
@@ -174,7 +176,7 @@ def _body_string(code: str, at: int) -> re.Match | None:
     return None
 
 
-def candidates(code: str, python: bool) -> tuple[list[tuple], list[tuple]]:
+def candidates(code: str, python: bool, every: bool = False) -> tuple[list[tuple], list[tuple]]:
     """Declarations ``(name, start, params)`` and comments ``(text, start, end, declaration it opens or None)``."""
     declared, comments = [], []
     if python:
@@ -201,8 +203,8 @@ def candidates(code: str, python: bool) -> tuple[list[tuple], list[tuple]]:
                 continue
             end = code.find(")", m.end())
             declared.append((name, m.start(), frozenset(re.findall(r"\w+", code[m.end(): end if end > 0 else m.end()]))))
-            if len(declared) == 1 and not comments_follow(spans, m.start()):
-                break  # nothing is left to be assigned
+            if not every and len(declared) == 1 and not comments_follow(spans, m.start()):
+                break  # no later declaration has a comment in its place
     return declared, comments
 
 
@@ -210,19 +212,32 @@ def comments_follow(spans: list[tuple[int, int]], at: int) -> bool:
     return bool(spans) and spans[-1][0] > at
 
 
-def link_score(code: str, declaration: tuple, place: int, comment: tuple) -> float | None:
-    """How well a comment fits a declaration; None if it can't belong to it."""
+#: Lines that may lie between a comment and a declaration it is offered to, and the declarations after and before a comment.
+REACH, AFTER, BEFORE = 40, 3, 1
+#: The score of a link that stands in its place, and what a line of distance costs one that doesn't.
+OPENS, ABOVE, APART, LINE = 4.0, 3.0, 1.5, 0.05
+
+
+def in_place(code: str, declaration: tuple, place: int, comment: tuple) -> bool:
+    """Whether a comment opens the declaration's body or stands directly above it."""
+    _, start, _ = declaration
+    _, _, end, opens = comment
+    if opens is not None:
+        return opens == place
+    return end <= start and _BETWEEN.match(code, end, start + len(code[start: start + 200]) - len(code[start: start + 200].lstrip(" \t"))) is not None
+
+
+def link_score(code: str, declaration: tuple, place: int, comment: tuple, lead: float = 0.0) -> float:
+    """How well a comment fits a declaration; not above zero if it can't belong to it. ``lead`` is what a link in its place has ahead."""
     name, start, params = declaration
     text, begin, end, opens = comment
-    if opens is not None:
-        if opens != place:
-            return None
-        score = 4.0
-    elif end <= start and _BETWEEN.match(code, end, start + len(code[start:]) - len(code[start:].lstrip(" \t"))):
-        score = 3.0 - 0.25 * code.count("\n", end, start)
+    if in_place(code, declaration, place, comment):
+        score = lead + (OPENS if opens is not None else ABOVE - 0.25 * code.count("\n", end, start))
+    elif opens is not None:
+        return 0.0
     else:
-        return None
-    tags = {a or b for a, b in _NAMED.findall(text)}
+        score = APART - LINE * (code.count("\n", end, start) if end <= start else code.count("\n", start, begin) + 10)
+    tags = {"".join(x) for x in _NAMED.findall(text)}
     if tags:
         score += 1.0 if tags & params else -0.5
     if name and re.search(rf"\b{re.escape(name)}\b", text):
@@ -271,31 +286,48 @@ def assign(scores: dict[tuple[int, int], float], n: int) -> dict[int, int]:
     return mine
 
 
-def documentation(name: str, docstring: str | None, code: str | None, python: bool) -> str | None:
+def links(code: str, python: bool, least: float | None = None) -> tuple[list[tuple], list[tuple], dict[int, int]]:
+    """Declarations, comments, and which comment each declaration gets.
+
+    The assignment is over all offers; of its links those stay that are in their place or, with ``least``, score that much.
+    Without ``least`` a link in its place has a lead that no tags or names of another declaration outweigh.
+    """
+    declared, comments = candidates(code, python, least is not None)
+    lead = 2.0 if least is None else 0.0
+    scores = {}
+    for j, c in enumerate(comments):
+        for i in _near(code, declared, c):
+            s = link_score(code, declared[i], i, c, lead)
+            if s > 0:
+                scores[i, j] = s
+    chosen = assign(scores, len(declared))
+    kept = {i: j for i, j in chosen.items() if in_place(code, declared[i], i, comments[j]) or least is not None and scores[i, j] >= least}
+    return declared, comments, kept
+
+
+def documentation(name: str, docstring: str | None, code: str | None, python: bool, least: float | None = None) -> str | None:
     """The entity's documentation, free of comment marks; None if there is none."""
     if docstring is not None and docstring.strip():
         return without_marks(docstring)
     if not code or not code.strip():
         return None
     code = code.replace("\r\n", "\n").replace("\r", "\n")
-    declared, comments = candidates(code, python)
+    declared, comments, chosen = links(code, python, least)
     if not declared or not comments:
         return None
     own = next((i for i, d in enumerate(declared) if d[0] == name), 0)
-    scores = {}
-    for j, c in enumerate(comments):
-        places = [c[3]] if c[3] is not None else _near(declared, c[2])
-        for i in places:
-            s = link_score(code, declared[i], i, c)
-            if s is not None:
-                scores[i, j] = s
-    j = assign(scores, len(declared)).get(own)
+    j = chosen.get(own)
     return without_marks(comments[j][0]) if j is not None else None
 
 
-def _near(declared: list[tuple], end: int) -> list[int]:
-    """The first declaration after a comment: between it and any later one stands this declaration."""
-    return next(([i] for i, d in enumerate(declared) if d[1] >= end - 1), [])
+def _near(code: str, declared: list[tuple], comment: tuple) -> list[int]:
+    """The declarations that a comment is offered to: the one it opens, or the next and previous ones within reach."""
+    _, begin, end, opens = comment
+    if opens is not None:
+        return [opens]
+    first = bisect_left(declared, end - 1, key=lambda d: d[1])
+    near = [*range(max(0, first - BEFORE), first), *range(first, min(len(declared), first + AFTER))]
+    return [i for i in near if code.count("\n", min(end, declared[i][1]), max(begin, declared[i][1])) <= REACH]
 
 
 _SCHEMA = "seq long, name string, code string, description string"

@@ -17,6 +17,8 @@ ABBREVIATIONS = (
 
 #: Kinds of documents that hold no prose.
 NO_PROSE_KINDS = ("source_file", "changelog")
+#: What makes a document without a fence around its code a source file.
+CODE_SHARE, CODE_LINES = 0.3, 2
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _HEADING = re.compile(r"\s{0,3}#{1,6}(\s|$)")
 _ITEM = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+")
@@ -47,7 +49,11 @@ def _is_code(line: str) -> bool:
 
 
 def prose_blocks(text: str, kind: str | None) -> list[str]:
-    """The paragraphs and list items of prose, each as one line of text."""
+    """The paragraphs and list items of prose, each as one line of text.
+
+    A document is a source file, and has no prose, if more than ``CODE_SHARE`` of its lines outside of fences, lists of arguments and blanks are code,
+    and more than ``CODE_LINES``; one of no known kind is a changelog if it has a heading of a release.
+    """
     if kind is not None and kind.strip().lower() in NO_PROSE_KINDS:
         return []
     lines = _BREAK.split(text.lstrip("﻿"))
@@ -116,7 +122,7 @@ def prose_blocks(text: str, kind: str | None) -> list[str]:
             continue
         block.append(bare)
     close()
-    if releases >= 1 and kind is None or code > 0.3 * seen and code > 2:
+    if releases >= 1 and kind is None or code > CODE_SHARE * seen and code > CODE_LINES:
         return []
     return out
 

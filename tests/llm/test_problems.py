@@ -228,6 +228,24 @@ def test_descriptions(text, name, want):
     assert documented.is_description(documented.without_marks(text), name) is want
 
 
+def test_assignment_decides_between_declarations():
+    # The nearest comment of each declaration would leave ``one`` with the other's tags and ``two`` with nothing.
+    code = "/** Reads the seed. @param a first\n * @param a the seed */\n/** Merges both ledgers.\n * @param b the ledger */\nfunction one(a) {\n}\nfunction two(b) {\n}\n"
+    declared, comments, chosen = documented.links(code, False, 1.0)
+    assert [d[0] for d in declared] == ["one", "two"] and chosen == {0: 0, 1: 1}
+    greedy = {0: 1}
+    score = lambda links: sum(documented.link_score(code, declared[i], i, comments[j]) for i, j in links.items())
+    assert score(chosen) > score(greedy)
+    # A comment apart from all declarations is offered to them, but only links in their place stay by default.
+    apart = "// Explains the whole file at some length.\nx = 1;\nfunction f() {\n}\n"
+    assert documented.links(apart, False)[2] == {} and documented.links(apart, False, 1.0)[2] == {0: 0}
+    # Two blocks above one declaration: the nearer one is its documentation.
+    two = "// Old remark about nothing here.\n\n// Reads every seed twice a day.\nfunction f() {\n}\n"
+    assert documented.documentation("f", None, two, False) == "Reads every seed twice a day."
+    body = "# Remark above the function here.\ndef f():\n    \'\'\'Reads every seed twice a day.\'\'\'\n"
+    assert documented.documentation("f", None, body, True) == "Reads every seed twice a day."
+
+
 def test_assignment_takes_the_best_total():
     for seed in range(60):
         r = random.Random(seed)
@@ -361,6 +379,9 @@ def test_levels(spark):
     assert len(rows) == len(docs) and all(by[i].reading_level == (1 if i % 2 else 5) for i in range(30, 40))
     assert by[90].n_sentences == by[91].n_sentences == by[92].n_sentences == 0 and by[90].reading_level is None and by[92].level_share is None
     assert sorted(r.doc_id for r in reading.demanding(got).collect()) == sorted([*range(0, 40, 2), 93, 93])
+    one = reading.held_out(spark, documents, given_).first()
+    assert one.documents == 30 and one.accuracy >= 0.9 > one.baseline and one.error < one.baseline_error and reading.held_out(spark, documents, given_.limit(0)).first().accuracy is None
+    assert reading.train(documents, given_, sample_docs=3) is not None
     none = reading.reading_levels(spark, documents, given_.limit(0)).collect()
     assert all(r.reading_level is None for r in none) and sum(r.n_sentences for r in none) == sum(r.n_sentences for r in rows)
     assert reading.reading_levels(spark, documents.limit(0), given_).collect() == []
