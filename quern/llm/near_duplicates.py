@@ -6,10 +6,11 @@ is if their Hamming distance is at most ``(1 - t) / (1 + t) * (|A| + |B|)``.
 1. Records with equal sets form one class; its least member stands for it.
 2. Candidates: of two close sets, each has among its rarest ``|A| - ceil(t |A|) + 1`` shingles one
    that is among the other's. Shingles of one record only are dropped, the others joined,
-   with filters on size and place.
+   with filters on size and place. A shingle that very many records hold in this place is joined
+   by classes of size and in blocks, so that no task holds all of them.
 3. Pigeonring: shingles fall into a ring of segments by hash. From some segment on, every chain of
    consecutive segments must keep its summed differences within its share of the distance;
-   bitmaps of the segments give lower bounds of the differences. Other candidates are pruned.
+   bitmaps of the segments, as wide as the set is large, give lower bounds of the differences. Other candidates are pruned.
 4. The full Hamming distance of the survivors decides.
 
 Defined cases: null texts and those below the least number of words are in no pair; repeated rows and
@@ -18,6 +19,7 @@ ties are equal sets; extra columns play no part; no rows give no pairs. Nothing
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -34,6 +36,10 @@ from .shingles import mix, shingle_sets
 
 SHINGLE, THRESHOLD, LEAST_WORDS = 3, Fraction(6, 10), 20
 SEGMENTS, CHAIN = 16, 8
+#: Bits of a segment at least, and bits for each of its shingles.
+SEGMENT_BITS, BITS_EACH = 64, 4
+#: Records that hold one shingle in their prefix, beyond which it is joined in blocks of so many.
+HOT = 2048
 #: A bounded sample tells which shingles are so common that they come last in the order of
 #: rarity; the order decides about speed only.
 SAMPLE, COMMON = 4000, 40
@@ -139,11 +145,20 @@ def candidates(docs: DataFrame, t: Fraction = THRESHOLD, size: int = SHINGLE, le
     places = lists.select("seq", "n", singles.alias("_s"), prefix.alias("_p"), F.posexplode("list").alias("_i", "x"))
     places = places.select(F.col("x.key").alias("key"), "seq", "n", (F.col("_s") + F.col("_i")).alias("place"), "_p").where("place < _p").drop("_p")
     places = materialize(places, "prefixes")
-    left = places.select("key", F.col("seq").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    right = places.select("key", F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    # One row for each hot shingle: fewer than a HOT-th of the prefixes' rows.
+    hot = materialize(places.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("_m")), "hot")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num))).cast("int")  # close sets are of neighbouring classes
+    places = places.join(hot, "key", "left").withColumn("_class", F.when(F.col("_m").isNotNull(), size_class).otherwise(0))
+    own = F.when(F.col("_m").isNotNull(), F.pmod(F.xxhash64("seq"), F.col("_m")).cast("int")).otherwise(0)
+    # Every row stays in its block; on the left it also visits the other blocks of its class and of those next to it.
+    visits = F.when(F.col("_m").isNotNull(), F.sequence(F.lit(0), F.col("_m") - 1)).otherwise(F.array(F.lit(0)))
+    classes_near = F.when(F.col("_m").isNotNull(), F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)).otherwise(F.array(F.lit(0)))
+    left = places.select("key", F.col("seq").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), visits.alias("_v"), F.explode(classes_near).alias("_class"))
+    left = left.select("key", "a", "na", "pa", "_class", F.explode("_v").alias("_block"))
+    right = places.select("key", F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), "_class", own.alias("_block"))
     close = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (num + den) >= (F.col("na") + F.col("nb")) * num
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & close & room).select("a", "b").distinct()
+    return left.join(right, ["key", "_class", "_block"]).where((F.col("a") < F.col("b")) & close & room).select("a", "b").distinct()
 
 
 #: Bits of the map that tells which records are in candidates at all: 1 MB, whatever the data.
@@ -163,11 +178,44 @@ def _map_of(ids: DataFrame) -> np.ndarray:
             bits[_spot(b.column(0).to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    parts = ids.coalesce(4).mapInArrow(run, "bits binary").collect()  # 4 rows of 1 MB at most
-    out = np.zeros(_MAP_BITS // 8, np.uint8)
-    for r in parts:
-        out |= np.frombuffer(r["bits"], np.uint8)
-    return out
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(_MAP_BITS // 8, np.uint8)
+        for b in batches:
+            for x in b.column(0):
+                out |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
+
+    # One map a partition, 32 merged ones, and one row of 1 MB in the end.
+    parts = ids.mapInArrow(run, "bits binary").repartition(32).mapInArrow(both, "bits binary").repartition(1).mapInArrow(both, "bits binary")
+    return np.frombuffer(parts.first()["bits"], np.uint8)
+
+
+def segment_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of a segment for sets of ``n`` shingles: a power of two, so that a wide bitmap folds into a narrow one."""
+    bits = np.maximum(SEGMENT_BITS, n * BITS_EACH / SEGMENTS)
+    return (1 << np.ceil(np.log2(bits / 64)).astype(np.int64).clip(0)).astype(np.int64)
+
+
+def rings(s: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The segments' bitmaps of some sets, end to end; a set's bitmap has ``SEGMENTS * segment_words`` words."""
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    words = segment_words(ends - starts)
+    first = np.cumsum(words * SEGMENTS) - words * SEGMENTS
+    doc = np.repeat(np.arange(len(ends)), ends - starts)
+    out = np.zeros(int((words * SEGMENTS).sum()), np.uint64)
+    segment, place = (s & np.uint64(SEGMENTS - 1)).astype(np.int64), (s >> np.uint64(8)).astype(np.uint64)
+    # The low bits say which word, so that folding keeps the bit's place in it.
+    word = (place >> np.uint64(6)).astype(np.int64) & (words[doc] - 1)
+    np.bitwise_or.at(out, first[doc] + segment * words[doc] + word, np.uint64(1) << (place & np.uint64(63)))
+    return [out[a: a + k].tobytes() for a, k in zip(first, words * SEGMENTS)]
+
+
+def folded(ring: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (pairs, segments, words) made narrower: bits that fall together are joined, so differences can only shrink."""
+    while ring.shape[2] > words:
+        half = ring.shape[2] // 2
+        ring = ring[:, :, :half] | ring[:, :, half:]
+    return ring
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int, least_words: int) -> DataFrame:
@@ -183,20 +231,18 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int, least_words: int) -> DataF
                 continue
             s, ends, _ = shingle_sets(b.column(1).to_pylist(), size, least_words)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            doc = np.repeat(np.arange(len(ends)), ends - starts)
-            ring = np.zeros((len(ends), SEGMENTS), np.uint64)
-            bit = np.uint64(1) << ((s >> np.uint64(8)) & np.uint64(63))
-            np.bitwise_or.at(ring, (doc, (s & np.uint64(SEGMENTS - 1)).astype(np.int64)), bit)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array((ends - starts).astype(np.int32)), pa.array([r.tobytes() for r in ring], pa.binary()), _bytes_column(s, starts, ends)],
+                [b.column(0), pa.array((ends - starts).astype(np.int32)), pa.array(rings(s, ends), pa.binary()), _bytes_column(s, starts, ends)],
                 names=["seq", "n", "ring", "hashes"])
 
     return docs.select("seq", "text").mapInArrow(run, "seq long, n int, ring binary, hashes binary")
 
 
 def ring_holds(x: np.ndarray, y: np.ndarray, budget: np.ndarray, chain: int = CHAIN) -> np.ndarray:
-    """Which pairs of segment bitmaps may be within ``budget``: from some segment on, all chains of up to ``chain`` segments keep their share."""
+    """Which pairs of segment bitmaps (pairs, segments[, words]) may be within ``budget``: from some segment on, all chains of up to ``chain`` segments keep their share."""
     boxes = np.bitwise_count(x ^ y).astype(np.float64)
+    if boxes.ndim == 3:
+        boxes = boxes.sum(axis=2)
     m = boxes.shape[1]
     share = (budget / m)[:, None]
     around = np.concatenate([boxes, boxes[:, : chain - 1]], axis=1)
@@ -208,6 +254,18 @@ def ring_holds(x: np.ndarray, y: np.ndarray, budget: np.ndarray, chain: int = CH
     return alive.any(axis=1)
 
 
+def surviving(ra: list[bytes], rb: list[bytes], budget: np.ndarray) -> np.ndarray:
+    """The pairs that the ring does not prune; bitmaps of two widths are compared at the narrower one."""
+    wa, wb = (np.array([len(r) // (8 * SEGMENTS) for r in side], np.int64) for side in (ra, rb))
+    alive = np.zeros(len(ra), bool)
+    for a, b in set(zip(wa.tolist(), wb.tolist())):
+        at = np.flatnonzero((wa == a) & (wb == b))
+        for part in np.array_split(at, -(-len(at) * (a + b) // 65_536)):  # some 16 MB of bitmaps at once
+            side = lambda r, w: folded(np.frombuffer(b"".join(r[i] for i in part), np.uint64).reshape(-1, SEGMENTS, w), min(a, b))  # noqa: E731, B023
+            alive[part] = ring_holds(side(ra, a), side(rb, b), budget[part])
+    return np.flatnonzero(alive)
+
+
 def close_classes(docs: DataFrame, t: Fraction = THRESHOLD, size: int = SHINGLE, least_words: int = LEAST_WORDS) -> DataFrame:
     """``a, b, shared, united``: the close pairs among records that each stand for a class."""
     pairs = materialize(candidates(docs, t, size, least_words), "candidates")
@@ -223,8 +281,7 @@ def close_classes(docs: DataFrame, t: Fraction = THRESHOLD, size: int = SHINGLE,
             ra, rb, ha, hb = (b.column(i).to_pylist() for i in (2, 3, 4, 5))
             n = np.array([(len(x) + len(y)) // 8 for x, y in zip(ha, hb)])
             budget = n * (den - num) / (den + num)
-            ring = lambda r: np.frombuffer(b"".join(r), np.uint64).reshape(-1, SEGMENTS)
-            alive = np.flatnonzero(ring_holds(ring(ra), ring(rb), budget))
+            alive = surviving(ra, rb, budget)
             both = [len(np.intersect1d(np.frombuffer(ha[i], np.uint64), np.frombuffer(hb[i], np.uint64), assume_unique=True)) for i in alive]
             both = np.array(both, np.int64)
             united = n[alive] - both

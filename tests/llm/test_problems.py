@@ -195,6 +195,33 @@ def test_ring_never_loses_a_pair_within_budget():
     assert not near_duplicates.ring_holds(np.zeros((1, 16), np.uint64), far, np.array([100.0]))[0]
 
 
+@pytest.mark.parametrize("n", [50, 200, 500, 1000, 2000, 5000])
+def test_ring_prunes_far_sets_of_any_size(n):
+    r = np.random.default_rng(n)
+
+    def pair(similarity, size_b):
+        shared = int(round(similarity * (n + size_b) / (1 + similarity)))
+        pool = np.unique(r.integers(0, 2**63, 3 * (n + size_b), dtype=np.uint64))
+        pool = r.permutation(pool)
+        return np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n: n + size_b - shared]]))
+
+    def kept(similarity, size_b, count=60):
+        pairs = [pair(similarity, size_b) for _ in range(count)]
+        sides = [near_duplicates.rings(np.concatenate([p[k] for p in pairs]), np.cumsum([len(p[k]) for p in pairs])) for k in (0, 1)]
+        budget = np.array([(len(a) + len(b)) * 0.25 for a, b in pairs])
+        return len(near_duplicates.surviving(*sides, budget)) / count
+
+    assert kept(0.3, n) <= 0.1 and kept(0.62, n) == 1.0 and kept(0.61, int(n * 0.8)) == 1.0
+
+
+def test_hot_shingles_are_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT", 4)
+    monkeypatch.setattr(near_duplicates, "COMMON", 2)
+    rows = near_rows(7)
+    got = [(r.seq_a, r.seq_b) for r in near_duplicates.similar_functions(code_rows(spark, rows)).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == jaccard_pairs(rows)
+
+
 def test_shingle_sets():
     s, ends, words = shingles.shingle_sets([None, "", "A b c a B c a b", "x y"], 3, 3)
     assert list(np.diff([0, *ends])) == [0, 0, 3, 0] and list(words) == [0, 0, 8, 2]
