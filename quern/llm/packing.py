@@ -30,8 +30,8 @@ from pyspark.sql.window import Window
 from ..session import materialize
 
 CAPACITY = 2048
-#: Parts of a size class, so that a size that many items share is ranked by many tasks.
-SALTS = 32
+#: Items of a size that one task ranks; a size that more items share is ranked in parts.
+PART = 250_000
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -78,37 +78,39 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(moves, np.int64).reshape(-1, 5), total
 
 
-def fill_containers(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
+def fill_containers(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, part: int = PART) -> DataFrame:
     """``key, piece_no, start, size, container``: one row for each piece; ``start`` is its offset in the item."""
     spark = sizes.sparkSession
     n = F.coalesce(F.col(size), F.lit(0)).cast("long")
     pieces = sizes.select(F.col(key).alias("_key"), n.alias("_n")).select(
         "_key", "_n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / capacity).cast("int") - 1, F.lit(0)))).alias("piece_no"))
     pieces = pieces.select("_key", "piece_no", F.least(F.lit(capacity).cast("long"), F.col("_n") - F.col("piece_no").cast("long") * capacity).alias("_size"))
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_key", "piece_no"), F.lit(SALTS)).cast("int"))
     pieces = materialize(pieces, "items")
-    # At most (capacity + 1) * SALTS rows, whatever the number of items.
+    # At most capacity + 1 rows, whatever the number of items.
+    sizes_of = {r["_size"]: r["count"] for r in pieces.groupBy("_size").count().collect()}
+    parts = [max(1, -(-sizes_of.get(s, 0) // part)) for s in range(capacity + 1)]
+    of_size = F.element_at(F.array(*[F.lit(x) for x in parts]), F.col("_size").cast("int") + 1) if max(parts) > 1 else F.lit(1)
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_key", "piece_no"), of_size).cast("int"))
+    # One row a part: capacity + 1 and one for every ``part`` items.
     tallies = pieces.groupBy("_size", "_salt").count().collect()
     counts: dict[int, int] = defaultdict(int)
-    offsets = {}
+    first_of = np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)
+    base = np.zeros(int(first_of[-1]), np.int64)
     for r in sorted(tallies, key=lambda r: (r["_size"], r["_salt"])):
-        offsets[r["_size"], r["_salt"]] = counts[r["_size"]]
+        base[first_of[r["_size"]] + r["_salt"]] = counts[r["_size"]]
         counts[r["_size"]] += r["count"]
     counts.pop(0, None)
     moves, total = plan(counts, capacity)
     order = np.lexsort((moves[:, 1], moves[:, 0]))
     moves = moves[order]
-    base = np.zeros((capacity + 1) * SALTS, np.int64)
-    for (s, salt), o in offsets.items():
-        base[s * SALTS + salt] = o
-    shared = spark.sparkContext.broadcast((moves, moves[:, 0] << 44 | moves[:, 1], base))
+    shared = spark.sparkContext.broadcast((moves, moves[:, 0] << 44 | moves[:, 1], base, first_of))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, starts, first = shared.value
+        table, starts, before, first = shared.value
         for b in batches:
             keys, piece, sz, salt, rank = (b.column(i) for i in range(5))
             s, rk = sz.to_numpy(), rank.to_numpy().astype(np.int64)
-            rk = rk - 1 + first[s * SALTS + salt.to_numpy()]
+            rk = rk - 1 + before[first[s] + salt.to_numpy()]
             out = rk % max(total, 1)
             some = s > 0
             if some.any():

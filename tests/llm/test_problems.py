@@ -352,7 +352,9 @@ def test_plan_is_best_fit(sizes, capacity):
 
 def test_containers(spark):
     sizes = [(i, s) for i, s in enumerate([100, 60, 40, 30, 30, 30, 10, 0, 0, 250, 350, None, 60])] + [(3, 30)]
+    parts = packing.fill_containers(spark.createDataFrame(sizes, "doc_id long, n_tokens long"), capacity=100, part=1)
     placed = packing.fill_containers(spark.createDataFrame(sizes, "doc_id long, n_tokens long"), capacity=100).collect()
+    assert packing.fill_rate(parts, 100).drop("fill").collect() == packing.fill_rate(spark.createDataFrame(placed), 100).drop("fill").collect()
     load = {}
     for r in placed:
         load[r.container] = load.get(r.container, 0) + r.size
