@@ -26,6 +26,8 @@ from ..session import materialize
 
 #: Nodes that one task solves at most, at some 100 bytes each.
 TASK_NODES = 1_000_000
+#: Ids of ways that a task holds at once before it hands them on.
+_BATCH = 500_000
 #: Partitions that a forest of any size is contracted in at least.
 PARTS = 8
 
@@ -45,7 +47,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     local = [where.get(int(p), -1) if h else -1 for p, h in zip(parent, has)]
     # state: 0 unseen, 1 on the present walk, 2 done
     state = bytearray(n)
-    exit_, root, kind, up = [None] * n, [None] * n, [None] * n, [()] * n
+    least: dict[int, int] = {}  # members of cycles: the smallest node
     for start in range(n):
         walk, i = [], start
         while i >= 0 and not state[i]:
@@ -53,30 +55,46 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             walk.append(i)
             i = local[i]
         if i >= 0 and state[i] == 1:  # a new cycle
-            at = walk.index(i)
-            ring = walk[at:]
-            least = int(min(node[j] for j in ring))
-            for j in ring:
-                root[j], kind[j], state[j] = least, "cycle", 2
-            walk = walk[:at]
-        for j in reversed(walk):
-            p = local[j]
-            if p >= 0:
-                exit_[j], root[j], up[j] = exit_[p], root[p], (int(node[p]), *up[p])
-                kind[j] = {"cycle": "below"}.get(kind[p], kind[p])
-                if kind[p] == "root":
-                    kind[j] = "tree"
-            elif has[j]:
-                exit_[j] = int(parent[j])
-            else:
-                root[j], kind[j] = int(node[j]), "root"
+            ring = walk[walk.index(i):]
+            smallest = int(min(node[j] for j in ring))
+            least |= dict.fromkeys(ring, smallest)
+        for j in walk:
             state[j] = 2
-    for a in range(0, n, 50_000):
-        b = min(n, a + 50_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(node[a:b], pa.int64()), pa.array(exit_[a:b], pa.int64()), pa.array(root[a:b], pa.int64()), pa.array(kind[a:b], pa.string()),
-             pa.array([list(x) for x in up[a:b]], pa.list_(pa.int64()))],
-            names=["node", "exit", "root", "kind", "up"])
+    below: dict[int, list[int]] = {}
+    for j, p in enumerate(local):
+        if p >= 0 and j not in least:
+            below.setdefault(p, []).append(j)
+    # Each tree from its top down: the way up is the stack, so no more than one way and one batch are held.
+    rows: list[tuple] = []
+    volume = 0
+    for top in range(n):
+        if local[top] >= 0 and top not in least:
+            continue
+        if top in least:
+            ends = (None, least[top], "cycle", "below")
+        elif has[top]:
+            ends = (int(parent[top]), None, None, None)
+        else:
+            ends = (None, int(node[top]), "root", "tree")
+        stack: list[int] = []
+        open_ = [(top, 0)]
+        while open_:
+            j, depth = open_.pop()
+            del stack[depth:]
+            rows.append((int(node[j]), ends[0], ends[1], ends[2] if j == top else ends[3], stack[::-1]))
+            volume += depth + 1
+            stack.append(int(node[j]))
+            open_ += [(c, depth + 1) for c in below.get(j, ())]
+            if volume >= _BATCH:
+                yield _fragments(rows)
+                rows, volume = [], 0
+    if rows:
+        yield _fragments(rows)
+
+
+def _fragments(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)], names=["node", "exit", "root", "kind", "up"])
 
 
 _NONE = "cast(array() as array<long>)"

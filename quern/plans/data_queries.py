@@ -22,11 +22,16 @@ def p3_processed(spark: SparkSession, d: str) -> DataFrame:
     return incremental.processed_functions(spark, table(spark, d, "code_functions"), table(spark, d, "code_vectors"), table(spark, d, "sync_runs"))
 
 
-def p6_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    out = hierarchy.class_hierarchy(table(spark, d, "code_classes"))
+def p6_hierarchy(spark: SparkSession, d: str, task_nodes: int = hierarchy.TASK_NODES) -> DataFrame:
+    out = hierarchy.class_hierarchy(table(spark, d, "code_classes"), task_nodes)
     return out.select(F.col("node").alias("seq"), F.col("parent").alias("parent_seq"), F.col("root").alias("root_seq"), "kind", "depth", "path")
 
 
+def p6_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """As p6_hierarchy, with tasks so small that quotients are contracted again, level by level."""
+    return p6_hierarchy(spark, d, max(20, table(spark, d, "code_classes").count() // 40))
+
+
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.class_hierarchy(table(spark, d, "code_classes")))
 
@@ -35,7 +40,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_hierarchy(spark, d).where("parent_seq is not null").select("seq", "root_seq")
 
 
-QUERIES = {"p3_found": p3_found, "p3_changes": p3_changes, "p3_processed": p3_processed, "p6_found": p6_found, "p6_hierarchy": p6_hierarchy, "p6_descendants": p6_descendants}
+QUERIES = {"p3_found": p3_found, "p3_changes": p3_changes, "p3_processed": p3_processed, "p6_found": p6_found, "p6_hierarchy": p6_hierarchy, "p6_fragments": p6_fragments, "p6_descendants": p6_descendants}
 
 _TIDY = "lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'))"
 _STATES = f"""
@@ -88,3 +93,4 @@ select seq, parent_seq, root_seq, kind, len(path) - 1 as depth, path from hier""
 select ancestor, descendant, distance from (select seq as descendant, unnest(up[2:]) as ancestor, generate_subscripts(up[2:], 1) as distance from hier where len(up) > 1)""",
     "p6_found": _PARENTS + """select seq, case when looped then list_min(path[list_position(path, path[-1]):]) else path[-1] end as root_seq from fin""",
 }
+ORACLES["p6_fragments"] = ORACLES["p6_hierarchy"]

@@ -72,3 +72,19 @@ def test_small_forests_are_contracted_too(spark, monkeypatch):
     monkeypatch.setattr(H, "_fill", lambda inner, quotient: quotients.append(quotient.count()) or fill(inner, quotient))
     assert run(spark, edges, block="block") == brute([e[:2] for e in edges])
     assert len(quotients) == 1 and 0 < quotients[0] < len(edges)
+
+
+def test_a_long_chain_is_handed_on_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    n = 3000
+    monkeypatch.setattr(H, "_BATCH", 20_000)
+    given = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None, *range(n - 1)], pa.int64())], names=["node", "parent"])
+    seen = 0
+    for b in H._contract(iter([given])):
+        ups = b.column(4)
+        assert len(ups.values) <= 20_000 + n
+        for node, root, kind, up in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), ups):
+            assert root == 0 and kind == ("tree" if node else "root") and len(up) == node and (not node or up[0].as_py() == node - 1)
+            seen += 1
+    assert seen == n
