@@ -21,6 +21,7 @@ from ..operators import vectors as V
 from ..operators.components import connected_components
 from ..operators.encode import HashEncoder, ModelEncoder
 from ..operators.imports import C_ROOTS, GO_EXTERNAL, GO_ROOTS, JAVA_EXTERNAL, JAVA_ROOTS, PYTHON_EXTERNAL, PYTHON_ROOTS, SUFFIXES, TS_SUFFIXES, language_of, resolved_imports
+from ..operators.vector_index import VectorIndex
 from ..session import fresh_path, materialize
 from ..sources.scan import IGNORED, ignored, should_process
 from ..sources.snapshots import SnapshotStore
@@ -83,6 +84,12 @@ def vector_topk_prefix(spark: SparkSession, d: str, overfetch: int | None = None
     return V.search(_paths(spark, d), _probe(spark, d), 10, id_column="vec_id", prefix=("path", "src/3/"), overfetch=overfetch).select("vec_id", "path", "score")
 
 
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As vector_topk, by the index: only cells that can hold one of the best rows are read."""
+    index = _kept(spark, d, "vector index", lambda: VectorIndex.build(table(spark, d, "embeddings"), fresh_path(spark, "index"), len(_probe(spark, d)), id_column="vec_id"))
+    return index.search(_probe(spark, d), 5, id_column="vec_id").select("vec_id", "label", "score")
+
+
 def hash_embed_topk(spark: SparkSession, d: str) -> DataFrame:
     encoder = HashEncoder(256)
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", encoder.encode(F.col("text")).alias("embedding"))
@@ -460,7 +467,7 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "vector_topk": vector_topk, "vector_topk_filtered": vector_topk_filtered, "vector_topk_prefix": vector_topk_prefix, "vector_topk_overfetch": partial(vector_topk_prefix, overfetch=3),
-    "hash_embed_topk": hash_embed_topk, "vector_get_by_id": vector_get_by_id, "vector_count": vector_count, "vector_count_of": vector_count_of, "vector_delete_by_ids": vector_delete_by_ids, "vector_delete_by_file": vector_delete_by_file,
+    "vector_index_topk": vector_index_topk, "hash_embed_topk": hash_embed_topk, "vector_get_by_id": vector_get_by_id, "vector_count": vector_count, "vector_count_of": vector_count_of, "vector_delete_by_ids": vector_delete_by_ids, "vector_delete_by_file": vector_delete_by_file,
     "vector_delete_by_repo": vector_delete_by_repo, "vector_upsert": vector_upsert, "content_hashes": content_hashes, "file_of_id": file_of_id, "entity_ids": entity_ids, "embed_text": embed_text,
     "entity_metadata": entity_metadata, "metadata_flat": metadata_flat, "sync_actions": sync_actions, "sync_diff": sync_diff, "sync_reconciled": sync_reconciled,
     "sync_file_diff": sync_file_diff, "full_reindex_counts": full_reindex_counts, "sync_all": sync_all, "embed_entities": embed_entities, "encode_truncated": encode_truncated, "graph_nodes": graph_nodes, "node_counts": node_counts, "graph_statistics": graph_statistics,
@@ -698,3 +705,4 @@ ORACLES["corrected_changes"] = f"select distinct {_PATH} as path, case when {_PA
 ORACLES["snapshot_versions"] = (
     "select 'files 0' as what, count(*) as n from code_files union all select 'files 1', count(*) from code_files where seq % 2 = 0 union all select 'runs 0', count(*) from sync_runs "
     "union all select 'runs 1', count(*) from sync_runs union all select 'version', 1 union all select 'missing', 1")
+ORACLES["vector_index_topk"] = ORACLES["vector_topk"]

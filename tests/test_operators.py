@@ -272,3 +272,26 @@ def test_stream_goes_out_after_a_pause(spark, tmp_path):
     finally:
         query.stop()
     assert set().union(*got) >= {("b.py", "delete"), ("a.py", "delete")} and all("n.txt" != p for part in got for p, _ in part)
+
+
+def test_vector_index_is_exact_and_reads_few_cells(spark, tmp_path):
+    import numpy as np
+
+    from quern.operators.vector_index import VectorIndex
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(30, 16))[r.integers(0, 30, 1500)] + r.normal(size=(1500, 16)) * 0.25
+    rows = [(i, [float(v) for v in row], i % 3) for i, row in enumerate(x)] + [(9001, None, 0), (9002, [0.0] * 16, 0), (9003, [1.0] * 3, 0), (9004, [float("nan")] * 16, 0)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, label int")
+    index = VectorIndex.build(df, f"file://{tmp_path}/index", 16)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in (0, 7, 500):
+        want = [int(i) for i in np.argsort(-(u @ u[q]), kind="stable")[:10]]
+        assert [r_.id for r_ in index.search(list(x[q]), 10).collect()] == want
+        hits += len(set(want) & {r_.id for r_ in index.search(list(x[q]), 10, probes=3, exact=False).collect()})
+        assert {r_.label for r_ in index.search(list(x[q]), 5, equal={"label": 1}).collect()} == {1}
+    assert hits >= 27 and len(index.centres) == 38
+    order, bound = index.order(u[0])
+    assert (bound[order] >= 0.8).mean() < 0.5
+    assert VectorIndex.build(df.limit(0), f"file://{tmp_path}/none", 16).search([1.0] * 16).collect() == []
