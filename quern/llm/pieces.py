@@ -95,3 +95,10 @@ def code_pieces(functions: DataFrame, classes: DataFrame, limit: int = LIMIT, ov
     rows = current_functions(functions, code=long_code).select("seq", "code")
     rows = rows.unionByName(current_classes(classes, code=long_code).select("seq", "code"))
     return split_items(rows, "seq", "code", limit, overlap)
+
+
+def joined(pieces: DataFrame, key: str = "seq", overlap: int = OVERLAP) -> DataFrame:
+    """``key, text``: each item put together again from its pieces, without what they repeat."""
+    fresh = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.substring("piece", overlap + 1, 2**31 - 1))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("fresh"))))
+    return pieces.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["fresh"]), "").alias("text"))

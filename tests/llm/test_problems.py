@@ -42,6 +42,7 @@ def test_piece_rows(spark):
     fns = code_rows(spark, [(1, "r", "a.py", "f", None, long_), (2, "r", "./a.py", "f", None, "short"), (3, "r", "b.py", "g", None, long_ + "z"), (4, "r", "c.py", "h", None, None), (5, None, None, None, None, "")])
     got = pieces.code_pieces(fns, fns.limit(0)).orderBy("seq", "piece_no").collect()
     assert {r.seq for r in got} == {3} and "".join(r.piece[200 if r.piece_no else 0:] for r in got) == long_ + "z"
+    assert {r.seq: r.text for r in pieces.joined(pieces.code_pieces(fns, fns.limit(0))).collect()} == {3: long_ + "z"}
     assert pieces.code_pieces(fns.limit(0), fns.limit(0)).collect() == []
 
 
