@@ -1,127 +1,94 @@
 """Problem 8: filling containers of fixed capacity with items.
 
-Bulk-synchronous best fit, decreasing: items and gaps are kept sorted by size, equal ones as
-one class with a count. Step by step from the largest size down, a class of items is matched with
-its successor among the gaps (the smallest gap that holds one), conflicts are settled by rank (the
-first items of the class fill the first containers of the gap class), the gaps shrink, and
-the rest goes on to the next gap and at last into new containers. The distributed part counts the items of
-each size, ranks them within it and looks their containers up.
+Bulk-synchronous best fit. The pieces are dealt out evenly to groups of bounded size, whatever their keys and sizes, and every group is packed by a task of
+its own: its items and the gaps of its open containers are kept sorted by size, and in each step all items look for their
+successor among the gaps, the smallest gap that holds them, in one sweep. Several items that meet at one gap are
+told apart by rank: the first takes it, the others the next gaps, up to where larger items claim. The gaps shrink, and the
+next step begins. When no item fits any more, as many containers are opened as the rest needs at least, the largest items first.
 
-Sizes and gaps are whole numbers up to the capacity, so the steps work on at most
-``capacity`` classes however many items there are; only those counts reach the driver.
+As groups are large against a container, what is lost at their ends is small: a container or two of many thousands.
 
-Defined cases: an item larger than the capacity is cut into full pieces and a rest; items of size
-zero take no room and are spread over the containers; null sizes count as zero; items given twice
-are two items; no items give no rows.
+Defined cases: an item larger than the capacity is cut into full pieces and a rest, a full piece is a container by itself; items of size
+zero take no room and are spread over the containers of their group; null sizes count as zero; items given twice
+are two items; no items give no rows. ``container`` is unique over all groups.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import defaultdict
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import materialize
 
 CAPACITY = 2048
-#: Items of a size that one task ranks; a size that more items share is ranked in parts.
-PART = 250_000
-
-
-def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """The moves and the number of containers.
-
-    A move (size, first rank, last rank + 1, items a container, first container) puts the
-    items of a size from one rank to another into consecutive containers, so many in each.
-    """
-    moves: list[tuple[int, int, int, int, int]] = []
-    gaps: list[int] = []
-    bins: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> ranges of containers
-    total = 0
-
-    def put(gap: int, start: int, n: int) -> None:
-        if gap > 0 and n > 0:
-            if not bins[gap]:
-                insort(gaps, gap)
-            bins[gap].append((start, n))
-
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            at = bisect_left(gaps, size)
-            if at < len(gaps):
-                gap = gaps[at]
-                start, n = bins[gap].pop()
-                if not bins[gap]:
-                    gaps.pop(at)
-            else:
-                gap, start = capacity, total
-                n = -(-left // (capacity // size))
-                total += n
-            each = gap // size
-            used = min(n, -(-left // each))
-            placed = min(left, used * each)
-            moves.append((size, rank, rank + placed, each, start))
-            put(gap, start + used, n - used)
-            short = used * each - placed  # the last container took fewer
-            put(gap - each * size, start, used - (short > 0))
-            if short:
-                put(gap - (each - short) * size, start + used - 1, 1)
-            rank += placed
-            left -= placed
-    return np.array(moves, np.int64).reshape(-1, 5), total
-
-
-def fill_containers(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, part: int = PART) -> DataFrame:
+#: Pieces that one task packs, about.
+GROUP = 50_000
+#: Container numbers of a group start at its number times this.
+_NUMBERS = 1 << 32
+
+
+def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """The container of each item (sizes from 1 to the capacity) and the number of containers."""
+    container = np.full(len(sizes), -1, np.int64)
+    full = np.flatnonzero(sizes == capacity)
+    container[full] = np.arange(len(full))
+    total = len(full)
+    left = np.flatnonzero(sizes < capacity)
+    left = left[np.argsort(-sizes[left], kind="stable")]  # the range sort of the items
+    gaps, owners = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while len(left):
+        need = sizes[left]
+        place = np.searchsorted(gaps, need)  # each item's successor among the gaps; falls with the sizes
+        first = np.searchsorted(-place, -place)  # the first item that meets there
+        claim = place + np.arange(len(left)) - first
+        # Larger items claim from their own place on: an item may go no further than the nearest of those.
+        starts = np.unique(place)
+        bound = np.append(starts[1:], len(gaps))[np.searchsorted(starts, place)]
+        won = claim < np.minimum(bound, len(gaps))
+        if won.any():
+            at = claim[won]
+            container[left[won]] = owners[at]
+            gaps[at] -= need[won]
+            left = left[~won]
+        else:
+            more = min(len(left), -(-int(need.sum()) // capacity))
+            opened = left[:more]
+            container[opened] = total + np.arange(more)
+            gaps, owners = np.concatenate([gaps, capacity - sizes[opened]]), np.concatenate([owners, container[opened]])
+            total += more
+            left = left[more:]
+        open_ = np.flatnonzero(gaps >= (sizes[left[-1]] if len(left) else capacity + 1))  # a gap below the least item is closed
+        order = open_[np.argsort(gaps[open_], kind="stable")]
+        gaps, owners = gaps[order], owners[order]
+    return container, total
+
+
+def fill_containers(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``key, piece_no, start, size, container``: one row for each piece; ``start`` is its offset in the item."""
-    spark = sizes.sparkSession
     n = F.coalesce(F.col(size), F.lit(0)).cast("long")
     pieces = sizes.select(F.col(key).alias("_key"), n.alias("_n")).select(
         "_key", "_n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / capacity).cast("int") - 1, F.lit(0)))).alias("piece_no"))
     pieces = pieces.select("_key", "piece_no", F.least(F.lit(capacity).cast("long"), F.col("_n") - F.col("piece_no").cast("long") * capacity).alias("_size"))
-    pieces = materialize(pieces, "items")
-    # At most capacity + 1 rows, whatever the number of items.
-    sizes_of = {r["_size"]: r["count"] for r in pieces.groupBy("_size").count().collect()}
-    parts = [max(1, -(-sizes_of.get(s, 0) // part)) for s in range(capacity + 1)]
-    of_size = F.element_at(F.array(*[F.lit(x) for x in parts]), F.col("_size").cast("int") + 1) if max(parts) > 1 else F.lit(1)
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_key", "piece_no"), of_size).cast("int"))
-    # One row a part: capacity + 1 and one for every ``part`` items.
-    tallies = pieces.groupBy("_size", "_salt").count().collect()
-    counts: dict[int, int] = defaultdict(int)
-    first_of = np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)
-    base = np.zeros(int(first_of[-1]), np.int64)
-    for r in sorted(tallies, key=lambda r: (r["_size"], r["_salt"])):
-        base[first_of[r["_size"]] + r["_salt"]] = counts[r["_size"]]
-        counts[r["_size"]] += r["count"]
-    counts.pop(0, None)
-    moves, total = plan(counts, capacity)
-    order = np.lexsort((moves[:, 1], moves[:, 0]))
-    moves = moves[order]
-    shared = spark.sparkContext.broadcast((moves, moves[:, 0] << 44 | moves[:, 1], base, first_of))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, starts, before, first = shared.value
-        for b in batches:
-            keys, piece, sz, salt, rank = (b.column(i) for i in range(5))
-            s, rk = sz.to_numpy(), rank.to_numpy().astype(np.int64)
-            rk = rk - 1 + before[first[s] + salt.to_numpy()]
-            out = rk % max(total, 1)
-            some = s > 0
-            if some.any():
-                move = table[np.searchsorted(starts, s[some] << 44 | rk[some], side="right") - 1]
-                out[some] = move[:, 4] + (rk[some] - move[:, 1]) // move[:, 3]
-            start = piece.to_numpy().astype(np.int64) * capacity
-            yield pa.RecordBatch.from_arrays([keys, piece, pa.array(start), sz, pa.array(out)], names=[key, "piece_no", "start", "size", "container"])
-
-    w = Window.partitionBy("_size", "_salt").orderBy("_key", "piece_no")
-    ranked = pieces.withColumn("_rank", F.row_number().over(w)).select("_key", "piece_no", "_size", "_salt", "_rank")
-    return ranked.mapInArrow(place, f"{key} long, piece_no int, start long, size long, container long")
+    pieces = materialize(pieces.withColumn("_no", F.monotonically_increasing_id()), "items")
+    groups = max(1, -(-pieces.count() // group))
+
+    def pack(table: pa.Table) -> pa.Table:
+        no = table.column("_no").to_numpy()
+        table = table.take(pa.array(np.argsort(no, kind="stable")))
+        sz = table.column("_size").to_numpy()
+        container = np.zeros(len(sz), np.int64)
+        some = sz > 0
+        container[some], total = best_fit(sz[some], capacity)
+        container[~some] = np.arange(int((~some).sum())) % max(total, 1)
+        piece = table.column("piece_no").to_numpy()
+        start = piece.astype(np.int64) * capacity
+        return pa.table({key: table.column("_key"), "piece_no": pa.array(piece, pa.int32()), "start": start, "size": sz, "container": container + table.column("_group")[0].as_py() * _NUMBERS})
+
+    # Dealt out by a hash of the row's number: even, whatever keys or sizes repeat.
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_no"), F.lit(groups)))
+    return dealt.groupBy("_group").applyInArrow(pack, f"{key} long, piece_no int, start long, size long, container long")
 
 
 def fill_rate(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
