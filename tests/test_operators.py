@@ -295,3 +295,28 @@ def test_vector_index_is_exact_and_reads_few_cells(spark, tmp_path):
     order, bound = index.order(u[0])
     assert (bound[order] >= 0.8).mean() < 0.5
     assert VectorIndex.build(df.limit(0), f"file://{tmp_path}/none", 16).search([1.0] * 16).collect() == []
+
+
+def test_command_line_and_watching_a_folder(spark, tmp_path, capsys):
+    import time
+
+    from quern.__main__ import main
+
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    (repo / "a.py").write_text("def f():\n    g()\ndef g(): pass\n")
+    common = ["--repo", str(repo), "--state", str(tmp_path / "s")]
+    said = []
+    for command in (["index"], ["callers", "repo:a.py:g"], ["chain", "repo:a.py:f", "--depth", "1"], ["search", "g", "--limit", "2"], ["status"]):
+        assert main([*common, *command], spark) == 0
+        said.append(json.loads(capsys.readouterr().out.strip().splitlines()[-1]))
+    assert said[0]["added"] == 2 and said[1]["count"] == 1 and said[2]["calls"][0]["name"] == "g" and said[3]["count"] == 2 and said[4]["status"] == "ready"
+    with Engine(spark, Settings(str(repo), storage_path=str(tmp_path / "s"), dimensions=768, debounce_seconds=0.5)) as e:
+        e.watch_repository()
+        assert e.get_index_status()["watcher_active"] and e.watch_repository() is e.query
+        (repo / "b.py").write_text("def h():\n    f()\n")
+        end = time.time() + 120
+        while time.time() < end and not e.get_callers("repo:a.py:f")["count"]:
+            time.sleep(1)
+        assert [r["id"] for r in e.get_callers("repo:a.py:f")["callers"]] == ["repo:b.py:h"]
+    assert e.query is None and e.watcher is None
