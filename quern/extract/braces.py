@@ -257,9 +257,16 @@ def brace_entities(text: str, language: str) -> tuple[list[dict], list[dict], li
     places: list[int] = []  # where each function is named
     n = len(src.tokens)
 
+    class_names: set[str] = set()
+
+    def around(i: int) -> list[tuple[str, int, int]]:
+        """The classes around a token, the outermost first; tokens are asked for in order, so those that ended are dropped."""
+        while scopes and scopes[-1][2] <= i:
+            scopes.pop()
+        return [s for s in scopes if s[1] < i < s[2]]
+
     def inside(i: int) -> str | None:
-        path = [s[0] for s in scopes if s[1] < i < s[2]]
-        return ".".join(path) or None
+        return ".".join(s[0] for s in around(i)) or None
 
     def words_before(i: int) -> set[str]:
         return {src.word(k) for k in range(_head(src, i), i)}
@@ -400,7 +407,9 @@ def brace_entities(text: str, language: str) -> tuple[list[dict], list[dict], li
                 "implements": listed("implements", ("{",)) if language == "java" else [],
                 "type_parameters": _type_parameters(src, type_start, src.generics_end(type_start)) if type_start and language in ("typescript", "javascript", "java", "rust") else []})
             if has_body:
+                around(i)
                 scopes.append((name, body, end))
+                class_names.add(name)
                 bodies.append((classes[-1], body, end))
             i = body + 1
             continue
@@ -520,11 +529,11 @@ def brace_entities(text: str, language: str) -> tuple[list[dict], list[dict], li
         # Methods, constructors and C-like functions: a name, parameters and a body.
         params = i + 1
         name, made = w, False
-        if language == "dart" and src.word(params) == "." and src.is_name(params + 1) and src.word(params + 2) == "(" and any(s[0] == w for s in scopes):
+        if language == "dart" and src.word(params) == "." and src.is_name(params + 1) and src.word(params + 2) == "(" and w in class_names:
             name, params, made = src.word(params + 1), params + 2, True
         if src.word(params) == "<":
             params = src.generics_end(params)
-        direct = [s for s in scopes if s[1] < i < s[2]]
+        direct = around(i)
         # Names at the level of a class body or of the file.
         open_at = direct[-1][1] if direct else -1
         at_level = _depth(src, i) == (_depth(src, open_at) + 1 if open_at >= 0 else 0) or language in ("c", "cpp") and not _in_function(src, i, functions)
