@@ -14,6 +14,8 @@ from .components import connected_components
 from .graph import Graph
 
 DEPTH, PATH_LENGTH = 5, 10
+#: Nodes of a search step that may travel with the driver's plan.
+SMALL = 10_000
 
 
 def _joined(g: Graph, type_: str, key: str, other: str) -> DataFrame:
@@ -55,25 +57,44 @@ def class_hierarchy(g: Graph) -> DataFrame:
     return up.unionByName(down).select("of", "relation", "id", "name", "file_path", (F.col("type") == "external").alias("is_external"))
 
 
-def call_chain_levels(g: Graph, id_: str, max_depth: int = DEPTH, direction: str = "outgoing") -> DataFrame:
-    """``id, depth``: what is reachable in at most ``max_depth`` calls, with the least number of them.
+def _reached(edges: DataFrame, start: str, most: int) -> DataFrame:
+    """``id, depth``: what is reachable over ``edges`` (_from, _to) in at most ``most`` steps, with the least number of them.
 
-    Breadth first with a frontier of distinct nodes; nodes met before are not expanded again.
+    Breadth first with a frontier of distinct nodes; nodes met before are not expanded again. A step is one job: while its nodes are
+    few (:data:`SMALL`, looked at before anything is kept) they go along as a local table; a larger frontier is written.
     """
-    a, b = ("src", "dst") if direction == "outgoing" else ("dst", "src")
-    spark = g.edges.sparkSession
-    calls = g.edges.where("type = 'calls'").select(F.col(a).alias("_from"), F.col(b).alias("_to"))
-    seen = spark.createDataFrame([(id_, 0)], "id string, depth int")
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        step = calls.join(frontier.select(F.col("id").alias("_from")), "_from").select(F.col("_to").alias("id")).distinct()
-        frontier = materialize(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+    spark = edges.sparkSession
+    known = {start: 0}
+    frontier, found, depth = [start], [], 0
+    for depth in range(1, most + 1):
+        now = spark.createDataFrame([(x,) for x in frontier], "_from string")
+        step = edges.join(F.broadcast(now), "_from").select("_to").distinct()  # SMALL rows at most
+        found = step.limit(SMALL + 1).collect()
+        if len(found) > SMALL:
+            break
+        frontier = [r[0] for r in found if r[0] not in known]
+        known |= dict.fromkeys(frontier, depth)
+        if not frontier:
+            break
+    seen = spark.createDataFrame(list(known.items()), "id string, depth int")
+    if not frontier or depth >= most and len(found) <= SMALL:
+        return seen
+    wide = spark.createDataFrame([(x,) for x in frontier], "id string")
+    for depth in range(depth, most + 1):
+        step = edges.join(wide.select(F.col("id").alias("_from")), "_from").select(F.col("_to").alias("id")).distinct()
+        wide = materialize(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        if wide.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = seen.unionByName(wide)
     return seen
 
 
+def call_chain_levels(g: Graph, id_: str, max_depth: int = DEPTH, direction: str = "outgoing") -> DataFrame:
+    """``id, depth``: what is reachable in at most ``max_depth`` calls, with the least number of them."""
+    a, b = ("src", "dst") if direction == "outgoing" else ("dst", "src")
+    return _reached(g.edges.where("type = 'calls'").select(F.col(a).alias("_from"), F.col(b).alias("_to")), id_, max_depth)
+
+
 def call_chain(g: Graph, id_: str, max_depth: int = DEPTH, direction: str = "outgoing") -> dict:
     """The nested tree of calls (or callers): a node met before, anywhere, or beyond the depth is a stub.
 
@@ -162,15 +183,7 @@ def find_paths(g: Graph, source: str, target: str, max_length: int = PATH_LENGTH
     """
     spark = g.edges.sparkSession
     edges = g.edges.select("src", "dst").where("src <> dst").distinct()
-    back = spark.createDataFrame([(target, 0)], "id string, left int")
-    reach, frontier = back, back
-    for step in range(1, max_length + 1):
-        found = edges.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
-        frontier = materialize(found.join(reach, "id", "left_anti").withColumn("left", F.lit(step)), "reach")
-        if frontier.isEmpty():
-            break
-        reach = reach.unionByName(frontier)
-    reach = materialize(reach, "reach")
+    reach = _reached(edges.select(F.col("dst").alias("_from"), F.col("src").alias("_to")), target, max_length).withColumnRenamed("depth", "left")
     useful = materialize(edges.join(reach.select(F.col("id").alias("dst"), "left"), "dst"), "useful")
     known = g.nodes.where(F.col("id").isin(source, target)).select("id").distinct().count()
     empty = spark.createDataFrame([], "path array<string>")

@@ -706,3 +706,11 @@ ORACLES["snapshot_versions"] = (
     "select 'files 0' as what, count(*) as n from code_files union all select 'files 1', count(*) from code_files where seq % 2 = 0 union all select 'runs 0', count(*) from sync_runs "
     "union all select 'runs 1', count(*) from sync_runs union all select 'version', 1 union all select 'missing', 1")
 ORACLES["vector_index_topk"] = ORACLES["vector_topk"]
+ORACLES["find_paths"] = _GRAPH + f""", root as (select src from edge where type = 'calls' group by src order by count(*) desc, src limit 1),
+walk as (select src as id, 0 as depth from root union select e.dst, walk.depth + 1 from walk join edge e on e.src = walk.id and e.type = 'calls' where walk.depth < {Q.PATH_LENGTH}),
+goal as (select id from (select id, min(depth) as d from walk group by id) order by d desc, id desc limit 1),
+back as (select id, 0 as left_ from goal union select e.src, back.left_ + 1 from back join edge e on e.dst = back.id where e.src <> e.dst and back.left_ < {Q.PATH_LENGTH}),
+reach as (select id, min(left_) as least from back group by id),
+paths as (select [src] as p, src as here from root union all select list_append(paths.p, e.dst), e.dst from paths join edge e on e.src = paths.here join reach r on r.id = e.dst
+  where paths.here <> (select id from goal) and not list_contains(paths.p, e.dst) and len(paths.p) + r.least <= {Q.PATH_LENGTH})
+select array_to_string(p, ' > ') as path from paths where here = (select id from goal)"""

@@ -87,6 +87,12 @@ def test_walks_equal_a_model(spark, seed):
     g = G.Graph.build(entities(spark, [fn(i, "m.py", a, calls[a]) for i, a in enumerate(names)]))
     for limit in (2,):
         assert flat(Q.call_chain(g, "r:m.py:n0", limit), "calls") == model_chain(calls, "n0", 0, limit, set())
+    few = {row.id: row.depth for row in Q.call_chain_levels(g, "r:m.py:n0", 4).collect()}
+    Q.SMALL, small = 1, Q.SMALL
+    try:
+        assert {row.id: row.depth for row in Q.call_chain_levels(g, "r:m.py:n0", 4).collect()} == few
+    finally:
+        Q.SMALL = small
     back = {}
     for a in names:
         for b in calls[a]:
