@@ -137,18 +137,16 @@ def candidates(docs: DataFrame, t: Fraction = THRESHOLD, size: int = SHINGLE, le
     # What only one record has is no link: it comes first in the order of rarity and is only counted.
     frequent = F.col("key") >= F.lit(1 << 32)
     shared = tokens.withColumn("df", F.count(F.lit(1)).over(w)).where(frequent | (F.col("df") > 1))
-    item = F.struct(F.when(frequent, F.shiftright("key", 32)).otherwise(0).alias("rank"), F.when(frequent, 0).otherwise(F.col("df")).alias("df"), "key")
+    item = F.struct(F.when(frequent, F.shiftright("key", 32)).otherwise(0).alias("rank"), F.when(frequent, 0).otherwise(F.col("df")).alias("df"), "key", F.col("df").alias("held"))
     lists = shared.groupBy("seq").agg(F.first("e").alias("e"), F.array_sort(F.collect_list(item)).alias("list"))
     lists = lists.join(docs.select("seq", "n"), "seq")
     singles = F.col("e") - F.size("list")
     prefix = F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den).cast("int") + 1
     places = lists.select("seq", "n", singles.alias("_s"), prefix.alias("_p"), F.posexplode("list").alias("_i", "x"))
-    places = places.select(F.col("x.key").alias("key"), "seq", "n", (F.col("_s") + F.col("_i")).alias("place"), "_p").where("place < _p").drop("_p")
+    places = places.select(F.col("x.key").alias("key"), "seq", "n", (F.col("_s") + F.col("_i")).alias("place"), "_p", F.when(F.col("x.held") > HOT, F.ceil(F.col("x.held") / HOT).cast("int")).alias("_m")).where("place < _p").drop("_p")
     places = materialize(places, "prefixes")
-    # One row for each hot shingle: fewer than a HOT-th of the prefixes' rows.
-    hot = materialize(places.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("_m")), "hot")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num))).cast("int")  # close sets are of neighbouring classes
-    places = places.join(hot, "key", "left").withColumn("_class", F.when(F.col("_m").isNotNull(), size_class).otherwise(0))
+    places = places.withColumn("_class", F.when(F.col("_m").isNotNull(), size_class).otherwise(0))
     own = F.when(F.col("_m").isNotNull(), F.pmod(F.xxhash64("seq"), F.col("_m")).cast("int")).otherwise(0)
     # Every row stays in its block; on the left it also visits the other blocks of its class and of those next to it.
     visits = F.when(F.col("_m").isNotNull(), F.sequence(F.lit(0), F.col("_m") - 1)).otherwise(F.array(F.lit(0)))
