@@ -97,6 +97,60 @@ def _fragments(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)], names=["node", "exit", "root", "kind", "up"])
 
 
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last quotient forest (node, exit, root, kind, up) in one task: the ways between the exits put together from the top down."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    node, exit_, root, kind = (table.column(c).to_pylist() for c in ("node", "exit", "root", "kind"))
+    up = table.column("up").combine_chunks()
+    where = {x: i for i, x in enumerate(node)}
+    local = [where[e] if e is not None else -1 for e in exit_]
+    n, state, least = len(node), bytearray(len(node)), {}
+    for start in range(n):
+        walk, i = [], start
+        while i >= 0 and not state[i]:
+            state[i] = 1
+            walk.append(i)
+            i = local[i]
+        if i >= 0 and state[i] == 1:
+            ring = walk[walk.index(i):]
+            least |= dict.fromkeys(ring, min(node[j] for j in ring))
+        for j in walk:
+            state[j] = 2
+    below: dict[int, list[int]] = {}
+    for j, p in enumerate(local):
+        if p >= 0 and j not in least:
+            below.setdefault(p, []).append(j)
+    rows, volume = [], 0
+    for top in range(n):
+        if local[top] >= 0 and top not in least:
+            continue
+        top_root, top_kind = (least[top], "cycle") if top in least else (root[top], kind[top])
+        under = "below" if top_kind in ("cycle", "below") else "tree"
+        stack: list[int] = [exit_[top]] if top in least else []
+        open_ = [(top, len(stack))]
+        while open_:
+            j, depth = open_.pop()
+            del stack[depth:]
+            stack += up[j].as_py()[::-1]
+            rows.append((node[j], top_root, top_kind if j == top else under, stack[::-1]))
+            volume += len(stack) + 1
+            stack.append(node[j])
+            open_ += [(c, len(stack)) for c in below.get(j, ())]
+            if volume >= _BATCH:
+                yield _answers(rows)
+                rows, volume = [], 0
+    if rows:
+        yield _answers(rows)
+
+
+def _answers(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)], names=["node", "root", "kind", "up"])
+
+
 _NONE = "cast(array() as array<long>)"
 
 
@@ -105,7 +159,9 @@ def _solve(edges: DataFrame, total: int, block: str | None, task_nodes: int, lev
     if level and total <= task_nodes:
         return edges.select("node", "parent").coalesce(1).mapInArrow(_contract, _FRAGMENT).select("node", "root", "kind", "up")
     parts = max(PARTS, -(-total // task_nodes) * 2)
-    if block:
+    if block and total <= task_nodes / 2:
+        keys = [F.col(block)]  # no block can be too large for a task
+    elif block:
         # Blocks beyond half a task are salted by node; there are fewer of them than 2 * parts.
         large = edges.groupBy(block).count().where(F.col("count") > task_nodes / 2)
         edges = edges.join(large, block, "left").withColumn("_salt", F.when(F.col("count").isNotNull(), F.pmod(F.hash("node"), F.ceil(F.col("count") * 2 / task_nodes))).otherwise(0))
@@ -116,7 +172,9 @@ def _solve(edges: DataFrame, total: int, block: str | None, task_nodes: int, lev
     exits = fragments.where("exit is not null").select(F.col("exit").alias("node")).distinct()
     quotient = materialize(fragments.join(exits, "node", "left_semi"), "quotient")
     count = quotient.count()
-    if count > task_nodes and count > 0.7 * total:
+    if count <= task_nodes:
+        solved = quotient.coalesce(1).mapInArrow(_finish, "node long, root long, kind string, up array<long>")
+    elif count > 0.7 * total:
         solved = _by_doubling(quotient.withColumnRenamed("exit", "parent"))
     else:
         inner = _solve(quotient.select("node", F.col("exit").alias("parent")), count, None, task_nodes, level + 1)
@@ -129,7 +187,7 @@ def _solve(edges: DataFrame, total: int, block: str | None, task_nodes: int, lev
         F.when(F.col("exit").isNull(), F.col("up")).otherwise(F.concat("up", F.array("exit"), F.coalesce("_up", F.expr(_NONE)))).alias("up"))
     ring = solved.where("kind = 'cycle'").select("node", F.col("root").alias("label")).join(
         quotient.where("root is null").select("node", "up"), "node").select("label", F.explode(F.concat(F.array("node"), "up")).alias("member"))
-    return _rings(out, materialize(ring, "rings"))
+    return out if ring.isEmpty() else _rings(out, materialize(ring, "rings"))
 
 
 def _fill(inner: DataFrame, quotient: DataFrame) -> DataFrame:
@@ -150,8 +208,6 @@ def _fill(inner: DataFrame, quotient: DataFrame) -> DataFrame:
 
 def _rings(out: DataFrame, ring: DataFrame) -> DataFrame:
     """Cycles across fragments: their members' kind and least node, and ways up that end at the first member."""
-    if ring.isEmpty():
-        return out
     least = ring.groupBy("label").agg(F.min("member").alias("least"))
     members = ring.join(least, "label").select("member", "least").distinct()
     hits = out.where("kind in ('cycle', 'below')").select("node", F.posexplode("up").alias("_i", "member")).join(members, "member")
