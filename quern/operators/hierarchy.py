@@ -31,7 +31,7 @@ _BATCH = 500_000
 #: Partitions that a forest of any size is contracted in at least.
 PARTS = 8
 
-_FRAGMENT = "node long, exit long, root long, kind string, up array<long>"
+_FRAGMENT = "node long, parent long, exit long, root long, kind string, up array<long>"
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while open_:
             j, depth = open_.pop()
             del stack[depth:]
-            rows.append((int(node[j]), ends[0], ends[1], ends[2] if j == top else ends[3], stack[::-1]))
+            rows.append((int(node[j]), int(parent[j]) if has[j] else None, ends[0], ends[1], ends[2] if j == top else ends[3], stack[::-1]))
             volume += depth + 1
             stack.append(int(node[j]))
             open_ += [(c, depth + 1) for c in below.get(j, ())]
@@ -93,8 +93,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)], names=["node", "exit", "root", "kind", "up"])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)], names=["node", "parent", "exit", "root", "kind", "up"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +155,9 @@ _NONE = "cast(array() as array<long>)"
 
 
 def _solve(edges: DataFrame, total: int, block: str | None, task_nodes: int, level: int) -> DataFrame:
-    """``node, root, kind, up`` for the forest ``edges`` (node, parent[, block]): ``up`` lists all ancestors, nearest first."""
+    """``node, parent, root, kind, up`` for the forest ``edges`` (node, parent[, block]): ``up`` lists all ancestors, nearest first."""
     if level and total <= task_nodes:
-        return edges.select("node", "parent").coalesce(1).mapInArrow(_contract, _FRAGMENT).select("node", "root", "kind", "up")
+        return edges.select("node", "parent").coalesce(1).mapInArrow(_contract, _FRAGMENT).select("node", "parent", "root", "kind", "up")
     parts = max(PARTS, -(-total // task_nodes) * 2)
     if block and total <= task_nodes / 2:
         keys = [F.col(block)]  # no block can be too large for a task
@@ -170,7 +170,7 @@ def _solve(edges: DataFrame, total: int, block: str | None, task_nodes: int, lev
         keys = [F.floor(F.col("node") / F.lit(4 ** level))]
     fragments = materialize(edges.repartition(parts, *keys).select("node", "parent").mapInArrow(_contract, _FRAGMENT), "fragments")
     exits = fragments.where("exit is not null").select(F.col("exit").alias("node")).distinct()
-    quotient = materialize(fragments.join(exits, "node", "left_semi"), "quotient")
+    quotient = materialize(fragments.drop("parent").join(exits, "node", "left_semi"), "quotient")
     count = quotient.count()
     if count <= task_nodes:
         solved = quotient.coalesce(1).mapInArrow(_finish, "node long, root long, kind string, up array<long>")
@@ -179,10 +179,11 @@ def _solve(edges: DataFrame, total: int, block: str | None, task_nodes: int, lev
     else:
         inner = _solve(quotient.select("node", F.col("exit").alias("parent")), count, None, task_nodes, level + 1)
         solved = _fill(inner, quotient)
-    solved = materialize(solved, "solved")
+    if count > task_nodes:  # what one task makes of a written quotient is made again rather than written
+        solved = materialize(solved, "solved")
     at_exit = solved.select(F.col("node").alias("exit"), F.col("root").alias("_root"), F.col("kind").alias("_kind"), F.col("up").alias("_up"))
     out = fragments.join(at_exit, "exit", "left").select(
-        "node", F.coalesce("root", "_root").alias("root"),
+        "node", "parent", F.coalesce("root", "_root").alias("root"),
         F.when(F.col("kind").isNotNull(), F.col("kind")).when(F.col("_kind").isin("cycle", "below"), F.lit("below")).otherwise(F.lit("tree")).alias("kind"),
         F.when(F.col("exit").isNull(), F.col("up")).otherwise(F.concat("up", F.array("exit"), F.coalesce("_up", F.expr(_NONE)))).alias("up"))
     ring = solved.where("kind = 'cycle'").select("node", F.col("root").alias("label")).join(
@@ -214,7 +215,7 @@ def _rings(out: DataFrame, ring: DataFrame) -> DataFrame:
     hits = hits.groupBy("node").agg(F.min("_i").alias("_cut"), F.min_by("least", "_i").alias("_least"))
     on = members.select(F.col("member").alias("node"), F.col("least").alias("_own"))
     return out.join(hits, "node", "left").join(on, "node", "left").select(
-        "node", F.coalesce("_own", "_least", "root").alias("root"),
+        "node", "parent", F.coalesce("_own", "_least", "root").alias("root"),
         F.when(F.col("_own").isNotNull(), F.lit("cycle")).when(F.col("_least").isNotNull(), F.lit("below")).otherwise(F.col("kind")).alias("kind"),
         F.when(F.col("_own").isNotNull(), F.expr(_NONE)).when(F.col("_least").isNotNull(), F.slice("up", F.lit(1), F.coalesce("_cut", F.lit(0)) + 1)).otherwise(F.col("up")).alias("up"))
 
@@ -240,21 +241,22 @@ def _by_doubling(quotient: DataFrame) -> DataFrame:
             return state.select("node", "root", "kind", "up")
 
 
-def hierarchy(edges: DataFrame, block: str | None = None, task_nodes: int = TASK_NODES) -> DataFrame:
+def hierarchy(edges: DataFrame, block: str | None = None, task_nodes: int = TASK_NODES, known: bool = False) -> DataFrame:
     """``node, parent, root, kind, depth, path`` of every node of ``edges`` (node, parent).
 
     ``kind`` is ``root``, ``tree``, ``cycle`` or ``below`` (a cycle); ``path`` runs from the top
-    down to the node. ``block`` names a column whose values keep chains together (a file, a repository).
+    down to the node. ``block`` names a column whose values keep chains together (a file, a repository). ``known`` promises
+    that every parent is a node.
     """
     cols = ["node", "parent"] + ([block] if block else [])
     rows = edges.where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"), *([F.min(block).alias(block)] if block else []))
-    known = rows.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    rows = rows.join(known, "parent", "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).select(*cols)
+    if not known:
+        nodes = rows.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
+        rows = rows.join(nodes, "parent", "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).select(*cols)
     rows = materialize(rows, "forest")
     solved = _solve(rows, rows.count(), block, task_nodes, 0)
     # ``up`` of a node below a cycle ends where the cycle begins; one on a cycle has no way up.
-    out = solved.join(rows.select("node", "parent"), "node")
-    return out.select("node", "parent", "root", "kind", F.size("up").alias("depth"), F.reverse(F.concat(F.array("node"), "up")).alias("path"))
+    return solved.select("node", "parent", "root", "kind", F.size("up").alias("depth"), F.reverse(F.concat(F.array("node"), "up")).alias("path"))
 
 
 def descendants(solved: DataFrame) -> DataFrame:
@@ -286,4 +288,4 @@ def class_parents(classes: DataFrame) -> DataFrame:
 def class_hierarchy(classes: DataFrame, task_nodes: int = TASK_NODES) -> DataFrame:
     """The hierarchy of the current classes, in fragments of files."""
     edges = class_parents(classes).select(F.col("seq").alias("node"), F.col("parent_seq").alias("parent"), F.xxhash64("repo", "clean_path").alias("file"))
-    return hierarchy(edges, "file", task_nodes)
+    return hierarchy(edges, "file", task_nodes, known=True)

@@ -82,9 +82,9 @@ def test_a_long_chain_is_handed_on_in_parts(monkeypatch):
     given = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None, *range(n - 1)], pa.int64())], names=["node", "parent"])
     seen = 0
     for b in H._contract(iter([given])):
-        ups = b.column(4)
+        ups = b.column(5)
         assert len(ups.values) <= 20_000 + n
-        for node, root, kind, up in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), ups):
+        for node, root, kind, up in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), ups):
             assert root == 0 and kind == ("tree" if node else "root") and len(up) == node and (not node or up[0].as_py() == node - 1)
             seen += 1
     assert seen == n
